@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.keys import class_of
 from tabloom.operators.select import RESOLVE_ROWS, class_counts, pick_lowest
-from tabloom.session import SMALL_ROWS, settle
+from tabloom.session import local_table, settle
 
 TRAIN, TEST = "train", "test"
 DEFAULT_RATIO = 0.2
@@ -79,7 +79,7 @@ def stratified_split(
         raise StratificationError(
             f"{n_classes} classes, smallest {least}, train {n_train}, test {n_test}"
         )
-    quotas, small = settle(stratified_quotas(counts, n_train, total), SMALL_ROWS)
+    quotas, small = settle(stratified_quotas(counts, n_train, total))
     return _apply(df, key, quotas, label, seed, small, resolve_rows)
 
 
@@ -94,7 +94,7 @@ def random_split(
     """Adds ``split`` with an exact number of test rows, classes ignored."""
     total = df.count()
     _, n_test = split_sizes(total, ratio)
-    quotas = df.sparkSession.createDataFrame([("", total, n_test)], "_class string, n long, q long")
+    quotas = local_table(df.sparkSession, [("", total, n_test)], "_class string, n long, q long")
     return _apply(df, key, quotas, None, seed, True, resolve_rows)
 
 

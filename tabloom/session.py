@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Per-class and per-column tables up to this many rows are held by the driver
 # and broadcast (well under 10 MB); larger ones stay distributed.
@@ -34,6 +38,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A small driver-side table. Handed over as Arrow it becomes a local relation
+    with a known size, instead of an RDD of pickled rows."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
 def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Compute a per-group table once and cut its lineage.
 
@@ -44,6 +59,6 @@ def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     spark = df.sparkSession
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
-        return spark.createDataFrame([tuple(r) for r in rows], df.schema), True
+        return local_table(spark, [tuple(r) for r in rows], df.schema), True
     shared_dir(spark)
     return df.checkpoint(), False

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import local_table
+
 EXAMPLE_FIELDS = ("instruction", "input", "output")
 
 EXAMPLE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXAMPLE_FIELDS])
@@ -46,7 +48,7 @@ class LabelMap:
 
     def as_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, raw, label) for i, (raw, label) in enumerate(self.pairs)]
-        return spark.createDataFrame(rows, "pos int, raw string, label string")
+        return local_table(spark, rows, "pos int, raw string, label string")
 
     def lookup(self, raw: Column) -> Column:
         """Label for a raw value as one expression; null where unmapped."""
