@@ -67,6 +67,8 @@ class PrepSpec:
                     covers the rest.
     decimals        digits after the point for fractional features, None for
                     Spark's own rendering.
+    medians         fitted medians of the "median" features (see ``fit_medians``).
+    keep            key columns carried along with the examples.
     unmapped        what happens to target values outside ``mapping``:
                     "drop", "keep" (raw value becomes the label) or "fail".
     """
@@ -83,6 +85,7 @@ class PrepSpec:
     key_value: str = ": "
     unmapped: str = "drop"
     keep: tuple[str, ...] = ()
+    medians: Mapping[str, float | None] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.unmapped not in ("drop", "keep", "fail"):
