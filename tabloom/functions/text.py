@@ -19,6 +19,18 @@ def null_if_empty(c: Column) -> Column:
     return F.when(F.length(c) > 0, c)
 
 
+def quoted(name: str) -> str:
+    """Column name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain_sql(name: str) -> str:
+    """``as_plain`` as SQL text: wide tables build one expression per column, and a
+    text costs one call to the JVM where chained Column calls cost many."""
+    c = f"CAST({quoted(name)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({c}) THEN {c} + 0D END"
+
+
 def as_plain(c: Column) -> Column:
     """A double with NaN read as missing and -0.0 folded into 0.0."""
     d = c.cast("double")

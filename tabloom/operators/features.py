@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import as_plain
+from tabloom.functions.text import plain_sql, quoted
 from tabloom.operators.columns import candidates, drop_missing_target
 from tabloom.operators.profile import is_text_like
 from tabloom.operators.quantiles import long_values, medians, quantiles
@@ -24,23 +24,20 @@ METHODS = ("correlation", "mutual_info", "random_forest")
 
 MI_BINS = 10
 SCORE_DIGITS = 9
-# Above this many columns statistics run on a (column, value) table instead of one
-# aggregate with an expression per column, whose generated code would be too large.
-WIDE_LIMIT = 200
 
 
 def column_stat(
-    df: DataFrame, columns: Sequence[str], stat: Callable[[Column, Column], Column], y: str | None = None
+    df: DataFrame, columns: Sequence[str], stat: str, y: str | None = None
 ) -> dict[str, float | None]:
-    """One statistic per column in one pass; ``stat`` gets value and target."""
-    target = F.col(f"`{y}`").cast("double") if y else F.lit(None).cast("double")
-    if len(columns) <= WIDE_LIMIT:
-        aggregates = [stat(as_plain(F.col(f"`{c}`")), target).alias(str(i)) for i, c in enumerate(columns)]
-        return dict(zip(columns, df.agg(*aggregates).first())) if columns else {}
-    wide = df.select(target.alias("_y"), *[as_plain(F.col(f"`{c}`")).alias(c) for c in columns])
-    tall = wide.unpivot("_y", [f"`{c}`" for c in columns], "column", "v")
-    rows = tall.groupBy("column").agg(stat(F.col("v"), F.col("_y")).alias("s")).collect()
-    return {r["column"]: r["s"] for r in rows}
+    """One statistic per column in one pass.
+
+    ``stat`` is an SQL aggregate over ``v`` (the value) and ``y`` (the target). It
+    runs over (position, value) pairs: the plan does not grow with the columns and
+    partial aggregates leave one row per column and task.
+    """
+    target = f"CAST({quoted(y)} AS DOUBLE) AS y" if y else "CAST(NULL AS DOUBLE) AS y"
+    rows = long_values(df, columns, target).groupBy("pos").agg(F.expr(stat).alias("s")).collect()
+    return {columns[r["pos"]]: r["s"] for r in rows}
 
 
 def impute_median(
@@ -51,14 +48,17 @@ def impute_median(
     ``known`` carries medians fitted elsewhere (the training table).
     """
     fitted = medians(df, columns) if known is None else known
-    return df.withColumns(
-        {c: F.coalesce(as_plain(F.col(f"`{c}`")), F.lit(fitted[c]).cast("double")) for c in columns}
-    )
+    filled = {}
+    for c in columns:
+        value = fitted.get(c)
+        default = "CAST(NULL AS DOUBLE)" if value is None else f"{value!r}D"
+        filled[c] = f"coalesce({plain_sql(c)}, {default}) AS {quoted(c)}"
+    return df.selectExpr(*[filled.get(c, quoted(c)) for c in df.columns])
 
 
 def column_variances(df: DataFrame, columns: Sequence[str], threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
     """``(feature, variance, kept)`` with population variances."""
-    found = column_stat(df, columns, lambda v, _: F.var_pop(v))
+    found = column_stat(df, columns, "var_pop(v)")
     rows = [(c, found.get(c), found.get(c) is not None and found[c] > threshold) for c in columns]
     return local_table(df.sparkSession, rows, "feature string, variance double, kept boolean")
 
@@ -105,19 +105,13 @@ def rank_correlation(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame
     """
     if is_text_like(df.schema[y].dataType):
         df, y = encode_label(df, y, "_y_code"), "_y_code"
-    found = column_stat(df, columns, lambda v, t: F.abs(F.nanvl(F.corr(v, t), F.lit(0.0))), y)
+    found = column_stat(df, columns, "abs(nanvl(corr(v, y), 0D))", y)
     return ranking(df.sparkSession, "correlation", {c: found.get(c) for c in columns})
 
 
-def _binned(tall: DataFrame, edges: Mapping[str, Sequence[float | None]], column: str, v: str, into: str) -> DataFrame:
-    """Equal-frequency bin of a value: how many of its column's edges lie below it."""
-    n = len(next(iter(edges.values())))
-    schema = f"{column} string, " + ", ".join(f"_e{i} double" for i in range(n))
-    table = local_table(tall.sparkSession, [(c, *e) for c, e in edges.items()], schema)
-    above = [F.when(F.col(v) > F.col(f"_e{i}"), 1).otherwise(0) for i in range(n)]
-    # One row per column: size known from the schema.
-    joined = tall.join(F.broadcast(table), column)
-    return joined.withColumn(into, reduce(lambda a, b: a + b, above)).drop(*[f"_e{i}" for i in range(n)])
+def bin_sql(value: str, edges: Sequence[str]) -> str:
+    """Equal-frequency bin of a value as SQL: how many edges lie below it."""
+    return " + ".join(f"CAST({value} > {e} AS INT)" for e in edges)
 
 
 def rank_mutual_info(
@@ -132,38 +126,34 @@ def rank_mutual_info(
     probs = [i / bins for i in range(1, bins)]
     rows = drop_missing_target(df, y)
     if task == "regression":
-        target_edges = {y: quantiles(rows, [y], probs)[y]}
-        value = as_plain(F.col(f"`{y}`"))
-        marked = rows.withColumns({"_c": F.lit(y), "_v": value})
-        rows = _binned(marked, target_edges, "_c", "_v", "_y").withColumn("_y", F.col("_y").cast("string"))
+        target = bin_sql(plain_sql(y), [f"{e!r}D" for e in quantiles(rows, [y], probs)[y] if e is not None] or ["0D"])
     else:
-        rows = rows.withColumn("_y", F.col(f"`{y}`").cast("string"))
-    wide = rows.select("_y", *[as_plain(F.col(f"`{c}`")).alias(c) for c in columns])
-    tall = wide.unpivot("_y", [f"`{c}`" for c in columns], "feature", "v").filter("v IS NOT NULL")
-    edges = quantiles(df, columns, probs)
-    joint = _binned(tall, edges, "feature", "v", "bin").groupBy("feature", "bin", "_y").agg(
-        F.count("*").alias("n")
+        target = f"CAST({quoted(y)} AS STRING)"
+    edges = quantiles(rows, columns, probs)
+    names = [f"e{i}" for i in range(len(probs))]
+    # One row per column: the size is known from the schema.
+    limits = local_table(
+        df.sparkSession, [(i, *edges[c]) for i, c in enumerate(columns)],
+        "pos int, " + ", ".join(f"{n} double" for n in names),
+    )
+    cells = long_values(rows, columns, f"{target} AS y").join(F.broadcast(limits), "pos")
+    joint = (
+        cells.selectExpr("pos", "y", f"{bin_sql('v', names)} AS bin")
+        .groupBy("pos", "bin", "y").agg(F.count("*").alias("n"))
     )
-    sets = [
-        [F.col("feature"), F.col("bin"), F.col("_y")],
-        [F.col("feature"), F.col("bin")],
-        [F.col("feature"), F.col("_y")],
-        [F.col("feature")],
-    ]
-    sums = joint.groupingSets(sets, "feature", "bin", "_y").agg(
+    pos, bin_, label = F.col("pos"), F.col("bin"), F.col("y")
+    sums = joint.groupingSets([[pos, bin_, label], [pos, bin_], [pos, label], [pos]], pos, bin_, label).agg(
         F.sum("n").alias("n"), F.grouping_id().alias("level")
     )
-    n_log_n = F.col("n") * F.log(F.col("n").cast("double"))
-    sign = F.when(F.col("level") == 0, 1).when(F.col("level") == 3, 0).otherwise(-1)
-    parts = sums.groupBy("feature").agg(
-        F.sum(sign * n_log_n).alias("part"),
-        F.max(F.when(F.col("level") == 3, F.col("n"))).alias("total"),
+    # Levels: 0 joint, 1 bins, 2 classes, 3 all rows of the column.
+    scores = sums.groupBy("pos").agg(
+        F.expr("sum(CASE level WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE -1 END * n * ln(n))").alias("part"),
+        F.expr("max(CASE WHEN level = 3 THEN n END)").alias("total"),
     )
-    score = F.greatest(F.col("part") / F.col("total") + F.log(F.col("total").cast("double")), F.lit(0.0))
-    names = local_table(df.sparkSession, [(c,) for c in columns], "feature string")
+    listed = local_table(df.sparkSession, list(enumerate(columns)), "pos int, feature string")
     return _ranked(
-        names.join(parts, "feature", "left").select(
-            F.lit("mutual_info").alias("method"), "feature", F.coalesce(score, F.lit(0.0)).alias("score")
+        listed.join(scores, "pos", "left").selectExpr(
+            "'mutual_info' AS method", "feature", "coalesce(greatest(part / total + ln(total), 0D), 0D) AS score"
         )
     )
 

@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import as_plain
+from tabloom.functions.text import plain_sql, quoted
 from tabloom.operators.columns import drop_missing_target
 from tabloom.operators.features import ranking
 
@@ -40,15 +40,21 @@ def _model(task: str, label: str, n_trees: int, max_depth: int):
 
 
 def _prepared(df: DataFrame, columns: Sequence[str], y: str, task: str, key: Sequence[str]) -> DataFrame:
-    target = as_plain(F.col(f"`{y}`")) if task == "regression" else F.col(f"`{y}`").cast("string")
-    values = [F.coalesce(as_plain(F.col(f"`{c}`")), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(columns)]
-    keys = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)]
+    keys = [f"{quoted(k)} AS _k{i}" for i, k in enumerate(key)]
     return _settled_order(
-        drop_missing_target(df, y).select(*keys, target.alias("_y"), *values),
+        drop_missing_target(df, y).selectExpr(*keys, f"{_target_sql(y, task)} AS _y", *_values_sql(columns)),
         [f"_k{i}" for i in range(len(key))],
     )
 
 
+def _target_sql(y: str, task: str) -> str:
+    return plain_sql(y) if task == "regression" else f"CAST({quoted(y)} AS STRING)"
+
+
+def _values_sql(columns: Sequence[str]) -> list[str]:
+    return [f"coalesce({plain_sql(c)}, 0D) AS _x{i}" for i, c in enumerate(columns)]
+
+
 def rank_forest(
     df: DataFrame,
     columns: Sequence[str],
@@ -107,9 +113,7 @@ def baseline_predict(
     both = train.withColumn("split", F.lit("train")).unionByName(
         test.withColumn("split", F.lit("test")), allowMissingColumns=True
     )
-    values = {f"_x{i}": F.coalesce(as_plain(F.col(f"`{c}`")), F.lit(0.0)) for i, c in enumerate(columns)}
-    target = as_plain(F.col(f"`{y}`")) if task == "regression" else F.col(f"`{y}`").cast("string")
-    scored = model.transform(both.withColumns({**values, "_y": target}))
+    scored = model.transform(both.selectExpr("*", f"{_target_sql(y, task)} AS _y", *_values_sql(columns)))
     return scored.select(
         *key, "split", F.coalesce(F.col(f"`{y}`").cast("string"), F.lit("")).alias("label"), shown.alias("predict")
     )

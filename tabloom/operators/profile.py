@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.keys import class_of
-from tabloom.functions.text import as_plain
+from tabloom.functions.text import plain_sql, quoted
 from tabloom.operators.quantiles import quantiles
 from tabloom.session import local_table
 
@@ -39,14 +39,14 @@ def is_text_like(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.NumericType, T.BooleanType))
 
 
-def _cell(field: T.StructField) -> Column:
-    """Value as text; NaN is missing and -0.0 equals 0.0."""
-    c = F.col(f"`{field.name}`")
+def _cell(field: T.StructField) -> str:
+    """Value as text, in SQL; NaN is missing and -0.0 equals 0.0."""
+    c = quoted(field.name)
     if isinstance(field.dataType, T.FloatType):
-        return F.when(~F.isnan(c), (c + F.lit(0.0).cast("float"))).cast("string")
+        return f"CAST(CASE WHEN NOT isnan({c}) THEN {c} + 0F END AS STRING)"
     if isinstance(field.dataType, T.DoubleType):
-        return as_plain(c).cast("string")
-    return c.cast("string")
+        return f"CAST({plain_sql(field.name)} AS STRING)"
+    return f"CAST({c} AS STRING)"
 
 
 def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[T.StructField]:
@@ -65,9 +65,14 @@ def value_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     counts collapse frequent values before the shuffle.
     """
     fields = _fields(df, columns)
-    cells = df.select(*[_cell(f).alias(f.name) for f in fields])
-    tall = cells.unpivot([], [f"`{f.name}`" for f in fields], "column", "value")
-    return tall.groupBy("column", "value").agg(F.count("*").alias("n"))
+    cells = ", ".join(_cell(f) for f in fields)
+    counts = (
+        df.selectExpr(f"posexplode(array({cells})) AS (pos, value)")
+        .groupBy("pos", "value").agg(F.count("*").alias("n"))
+    )
+    # Names are attached after counting: the shuffle carries a position, not a name.
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return counts.select(F.get(names, F.col("pos")).alias("column"), "value", "n")
 
 
 def _position_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -115,20 +120,15 @@ def column_profile(df: DataFrame, max_cols: int | None = MAX_COLUMNS, approximat
 def sketch_profile(df: DataFrame, columns: Sequence[str], lg_k: int = SKETCH_LG_K) -> DataFrame:
     """Column profile with sketched distinct counts: one pass, nothing expanded."""
     fields = _fields(df, columns)
-    stats = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(_cell(f), lg_k)), F.lit(0)).alias("n_unique"),
-            (F.count("*") - F.count(_cell(f))).alias("n_missing"),
-            F.count("*").alias("n_rows"),
-        )
-        for f in fields
-    ]
-    wide = df.agg(F.array(*stats).alias("stats"))
-    counts = wide.select(F.inline("stats"))
+    stats = ", ".join(
+        f"struct({i} AS position, coalesce(hll_sketch_estimate(hll_sketch_agg({_cell(f)}, {lg_k})), 0) AS n_unique, "
+        f"count(*) - count({_cell(f)}) AS n_missing, count(*) AS n_rows)"
+        for i, f in enumerate(fields)
+    )
+    counts = df.agg(F.expr(f"array({stats})").alias("stats")).select(F.inline("stats"))
     return (
         F.broadcast(_position_table(df, [f.name for f in fields]))
-        .join(counts, "column")
+        .join(counts, "position")
         .select("position", "column", "dtype", "numeric", "text_like", "n_unique", "n_missing", "n_rows")
     )
 
@@ -152,11 +152,10 @@ def numeric_summary(df: DataFrame, max_cols: int = MAX_NUMERIC, digits: int = 4)
     if not names:
         return local_table(spark, [], schema)
     moments = df.agg(*[
-        F.struct(
-            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"),
-        ).alias(str(i))
-        for i, v in enumerate(as_plain(F.col(f"`{n}`")) for n in names)
+        F.expr(
+            f"struct(count({v}) AS count, avg({v}) AS mean, stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max)"
+        )
+        for v in map(plain_sql, names)
     ]).first()
     quartiles = quantiles(df, names, [0.25, 0.5, 0.75], {n: moments[i]["count"] for i, n in enumerate(names)})
     rows = [
@@ -268,15 +267,11 @@ def quality_notes(df: DataFrame, target: str) -> DataFrame:
 
     ``(note, column, value)``; the ratio is largest over smallest class.
     """
-    missing = df.agg(*[
-        F.struct(
-            F.lit("missing_share").alias("note"),
-            F.lit(f.name).alias("column"),
-            F.try_divide(F.count("*") - F.count(_cell(f)), F.count("*")).alias("value"),
-        ).alias(str(i))
-        for i, f in enumerate(df.schema)
-    ])
-    shares = missing.select(F.inline(F.array(*[f"`{i}`" for i in range(len(df.columns))])))
+    missing = ", ".join(f"try_divide(count(*) - count({_cell(f)}), count(*))" for f in df.schema)
+    names = F.array(*[F.lit(c) for c in df.columns])
+    shares = df.agg(F.expr(f"array({missing})").alias("shares")).select(
+        F.lit("missing_share").alias("note"), F.posexplode("shares").alias("pos", "value")
+    ).select("note", F.get(names, F.col("pos")).alias("column"), "value")
     counts = df.groupBy(class_of(target).alias("c")).agg(F.count("*").alias("n"))
     ratio = counts.agg(
         F.lit("imbalance_ratio").alias("note"),

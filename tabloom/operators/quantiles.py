@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import as_plain
+from tabloom.functions.text import plain_sql
 from tabloom.session import local_table
 
 # Pieces with at most this many values are sorted directly.
@@ -25,10 +25,14 @@ GRID = 1000
 ACCURACY = 20_000
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, v)`` for every non-missing value of the numeric columns."""
-    wide = df.select(*[as_plain(F.col(f"`{c}`")).alias(c) for c in columns])
-    return wide.unpivot([], [f"`{c}`" for c in columns], "column", "v").filter("v IS NOT NULL")
+def long_values(df: DataFrame, columns: Sequence[str], *carried: str) -> DataFrame:
+    """``(*carried, pos, v)`` for every non-missing value of the numeric columns.
+
+    ``pos`` is the position of the column in ``columns``: a short key to shuffle.
+    ``carried`` are SQL expressions kept beside each value.
+    """
+    cells = ", ".join(plain_sql(c) for c in columns)
+    return df.selectExpr(*carried, f"posexplode(array({cells})) AS (pos, v)").filter("v IS NOT NULL")
 
 
 def quantiles(
@@ -39,41 +43,40 @@ def quantiles(
     resolve_values: int = RESOLVE_VALUES,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column; None for columns without values."""
+    if not columns:
+        return {}
     values = long_values(df, columns)
     if counts is None:
-        counts = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    wanted: dict[str, set[int]] = {}
-    for c in columns:
-        top = counts.get(c, 0) - 1
-        if top >= 0:
-            wanted[c] = {int(f(p * top)) for p in probs for f in (math.floor, math.ceil)}
-    found = _order_statistics(values, counts, wanted, resolve_values)
-
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
-        top = counts.get(c, 0) - 1
-        if top < 0:
-            result[c] = [None] * len(probs)
-            continue
-        result[c] = [_between(found, c, p * top) for p in probs]
-    return result
+        found = values.groupBy("pos").agg(F.count("*").alias("n")).collect()
+        sizes = {r["pos"]: r["n"] for r in found}
+    else:
+        sizes = {i: counts.get(c, 0) for i, c in enumerate(columns)}
+    wanted: dict[int, set[int]] = {}
+    for pos, n in sizes.items():
+        if n > 0:
+            wanted[pos] = {int(f(p * (n - 1))) for p in probs for f in (math.floor, math.ceil)}
+    found = _order_statistics(values, sizes, wanted, resolve_values)
+    return {
+        c: [_between(found, i, p * (sizes[i] - 1)) if i in wanted else None for p in probs]
+        for i, c in enumerate(columns)
+    }
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in quantiles(df, columns, [0.5]).items()}
 
 
-def _between(found: Mapping[tuple[str, int], float], column: str, position: float) -> float:
+def _between(found: Mapping[tuple[int, int], float], column: int, position: float) -> float:
     low, high = found[column, math.floor(position)], found[column, math.ceil(position)]
     return low if low == high else low + (high - low) * (position - math.floor(position))
 
 
 def _order_statistics(values, counts, wanted, resolve_values):
-    """Value at each wanted 0-based rank: ``{(column, rank): value}``."""
+    """Value at each wanted 0-based rank: ``{(column position, rank): value}``."""
     spark = values.sparkSession
     # A piece: (column, low, high, values before it, values in it), bounds exclusive.
     pieces = [(c, None, None, 0, counts[c]) for c in wanted]
-    found: dict[tuple[str, int], float] = {}
+    found: dict[tuple[int, int], float] = {}
     while pieces:
         large = [p for p in pieces if p[4] > resolve_values]
         small = [p for p in pieces if p[4] <= resolve_values]
@@ -91,8 +94,8 @@ def _ranks_in(piece, wanted) -> list[int]:
 def _inside(spark, values, pieces, extra_rows=None, extra_schema=""):
     """Values that lie in a piece, tagged with its number (a few rows per column)."""
     rows = [(i, p[0], p[1], p[2], *(extra_rows[i] if extra_rows else ())) for i, p in enumerate(pieces)]
-    table = local_table(spark, rows, "piece int, column string, low double, high double" + extra_schema)
-    joined = values.join(F.broadcast(table), "column")
+    table = local_table(spark, rows, "piece int, pos int, low double, high double" + extra_schema)
+    joined = values.join(F.broadcast(table), "pos")
     return joined.filter(
         (F.col("low").isNull() | (F.col("v") > F.col("low")))
         & (F.col("high").isNull() | (F.col("v") < F.col("high")))

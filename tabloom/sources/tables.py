@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import as_plain
+from tabloom.functions.text import as_plain, quoted
 from tabloom.session import local_table
 
 # The texts that mean "missing" in a CSV cell.
@@ -31,9 +31,19 @@ def _csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(header=True, inferSchema=False, multiLine=False, escape='"', mode="PERMISSIVE").csv(path)
 
 
-def _present(name: str, na_tokens: Sequence[str]) -> Column:
-    c = F.col(f"`{name}`")
-    return F.when(~c.isin(list(na_tokens)), c)
+def _text(value: str) -> str:
+    """String literal in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _texts(values: Sequence[str]) -> str:
+    return ", ".join(_text(v) for v in values)
+
+
+def _present(name: str, na_tokens: Sequence[str]) -> str:
+    """The cell, null when it holds a missing token, in SQL."""
+    c = quoted(name)
+    return f"CASE WHEN {c} NOT IN ({_texts(na_tokens)}) THEN {c} END"
 
 
 def infer_types(text: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> dict[str, str]:
@@ -45,18 +55,14 @@ def infer_types(text: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> dict[s
     types: dict[str, str] = {}
     for start in range(0, len(text.columns), INFER_CHUNK):
         names = text.columns[start:start + INFER_CHUNK]
-        stats = []
-        for i, name in enumerate(names):
-            v = _present(name, na_tokens)
-            stats.append(
-                F.struct(
-                    F.count("*").alias("rows"),
-                    F.count(v).alias("present"),
-                    F.count_if(v.rlike(INTEGER) & v.try_cast("bigint").isNotNull()).alias("whole"),
-                    F.count_if(v.rlike(NUMBER)).alias("number"),
-                    F.count_if(v.isin(list(BOOLEANS))).alias("bool"),
-                ).alias(str(i))
+        stats = [
+            F.expr(
+                f"struct(count(*) AS rows, count({v}) AS present, "
+                f"count_if({v} RLIKE {_text(INTEGER)} AND try_cast({v} AS BIGINT) IS NOT NULL) AS whole, "
+                f"count_if({v} RLIKE {_text(NUMBER)}) AS number, count_if({v} IN ({_texts(BOOLEANS)})) AS bool)"
             )
+            for v in (f"({_present(name, na_tokens)})" for name in names)
+        ]
         for name, s in zip(names, text.agg(*stats).first()):
             complete = s["present"] == s["rows"] and s["rows"] > 0
             if complete and s["whole"] == s["present"]:
@@ -78,7 +84,9 @@ def read_csv(spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKEN
     """
     text = _csv_text(spark, path)
     types = infer_types(text, na_tokens)
-    return text.select(*[_present(n, na_tokens).try_cast(types[n]).alias(n) for n in text.columns])
+    return text.selectExpr(
+        *[f"try_cast({_present(n, na_tokens)} AS {types[n]}) AS {quoted(n)}" for n in text.columns]
+    )
 
 
 def read_table(
