@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabloom.functions.text import quoted
+
 
 def row_hash(key: Sequence[str], seed: int) -> Column:
     """md5 of ``seed|key1|key2...``: a repeatable pseudo-random order of rows."""
-    parts = [F.lit(str(seed)), *[F.col(k).cast("string") for k in key]]
+    parts = [F.lit(str(seed)), *[F.col(quoted(k)).cast("string") for k in key]]
     return F.md5(F.concat_ws("|", *parts))
 
 
 def content_hash(columns: Sequence[str], seed: int) -> Column:
     """md5 over the whole row, to order rows that share one key."""
-    body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[quoted(c) for c in columns]), {"ignoreNullFields": "false"})
     return F.md5(F.concat(F.lit(f"{seed}|"), body))
 
 
@@ -24,4 +26,4 @@ def class_of(label: str | None) -> Column:
     """Class of a row: its label as text, a missing label being the class ''."""
     if label is None:
         return F.lit("")
-    return F.coalesce(F.col(label).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(label)).cast("string"), F.lit(""))

@@ -122,5 +122,5 @@ def repair_json(df: DataFrame, col: str, into: str = "repaired") -> DataFrame:
         checked.withColumn("_fixed", _repair_batch(broken))
         .withColumn(into, F.coalesce(F.col("_fixed"), F.col(col)))
         .drop("_fixed")
-        .withColumn("is_valid", is_one_json_object(F.col(into)))
+        .withColumn("is_valid", F.when(F.col("was_valid"), True).otherwise(is_one_json_object(F.col(into))))
     )

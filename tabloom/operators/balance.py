@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import class_of, row_hash
+from tabloom.functions.text import quoted
 from tabloom.operators.profile import class_distribution
 from tabloom.operators.select import attach, class_counts, pick_lowest, repeat_rows
 
@@ -32,7 +33,7 @@ def oversample(
         "_times", F.col("_whole") + F.col("_extra").cast("long")
     )
     repeated = repeat_rows(copies, "_times", copy_col, most // least + 1)
-    return repeated.select(*df.columns, copy_col)
+    return repeated.select(*[quoted(c) for c in df.columns], copy_col)
 
 
 def undersample(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -72,7 +73,7 @@ def shuffle(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
         df.withColumns(
             {
                 "_h": row_hash(key, seed),
-                "_body": F.xxhash64(*df.columns),
+                "_body": F.xxhash64(*[quoted(c) for c in df.columns]),
                 "_pos": F.monotonically_increasing_id(),
             }
         )

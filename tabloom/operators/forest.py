@@ -23,10 +23,14 @@ MAX_DEPTH = 10
 
 
 def _settled_order(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Same rows in the same partitions whatever the input layout, so a seed repeats."""
+    """Same rows in the same partitions whatever the input layout, so a seed repeats.
+
+    Rows are dealt by their whole content: one hot key spreads over all tasks.
+    """
     if not key:
         return df
-    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*df.columns)).sortWithinPartitions(*key, F.xxhash64(*df.columns))
 
 
 def _model(task: str, label: str, n_trees: int, max_depth: int):

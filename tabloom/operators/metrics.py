@@ -25,13 +25,20 @@ NO_PREDICTIONS = "No valid predictions to evaluate"
 DENSE_LABELS = 1000
 
 
+def _read_labels(predictions: DataFrame, mapping: LabelMap) -> DataFrame:
+    labels = mapping.labels
+    return predictions.withColumns(
+        {
+            "truth": extract_label(F.col("label"), labels),
+            "pred": F.coalesce(extract_label(F.col("predict"), labels), F.lit(UNPARSED)),
+        }
+    )
+
+
 def score_rows(predictions: DataFrame, mapping: LabelMap) -> DataFrame:
     """Adds ``truth`` and ``pred``; rows without a truth are dropped, an empty
     prediction becomes UNPARSED."""
-    labels = mapping.labels
-    return predictions.withColumn("truth", extract_label(F.col("label"), labels)).filter(
-        "truth IS NOT NULL"
-    ).withColumn("pred", F.coalesce(extract_label(F.col("predict"), labels), F.lit(UNPARSED)))
+    return _read_labels(predictions, mapping).filter("truth IS NOT NULL")
 
 
 def universe_labels(mapping: LabelMap) -> list[str]:
@@ -67,15 +74,24 @@ def pair_counts(scored: DataFrame, mapping: LabelMap) -> DataFrame:
     With a mapping they are folded before counting, so the groups are bounded by
     labels x labels whatever the texts are.
     """
+    return _pairs(scored, mapping).filter("labelled").drop("labelled")
+
+
+def _pairs(read: DataFrame, mapping: LabelMap) -> DataFrame:
+    """Pair counts with rows lacking a truth counted too (``labelled`` is false)."""
     known = universe_labels(mapping)
+    labelled = F.col("truth").isNotNull().alias("labelled")
     if known:
         inside = lambda c: F.when(F.col(c).isin(known), F.col(c)).alias(c)
-        return scored.groupBy("split", inside("truth"), inside("pred")).agg(F.count("*").alias("n"))
-    counts = scored.groupBy("split", "truth", "pred").agg(F.count("*").alias("n"))
-    truths = counts.select("split", F.col("truth").alias("pred")).distinct().withColumn("_in", F.lit(True))
+        return read.groupBy("split", labelled, inside("truth"), inside("pred")).agg(F.count("*").alias("n"))
+    counts = read.groupBy("split", labelled, "truth", "pred").agg(F.count("*").alias("n"))
+    truths = (
+        counts.filter("labelled").select("split", F.col("truth").alias("pred")).distinct()
+        .withColumn("_in", F.lit(True))
+    )
     joined = counts.join(truths, ["split", "pred"], "left")
     kept = F.when(F.col("_in") | (F.col("pred") == UNPARSED), F.col("pred"))
-    return joined.groupBy("split", "truth", kept.alias("pred")).agg(F.sum("n").alias("n"))
+    return joined.groupBy("split", "labelled", "truth", kept.alias("pred")).agg(F.sum("n").alias("n"))
 
 
 def _valid() -> Column:
@@ -223,11 +239,12 @@ def evaluate(
     error row; splits not handed in are absent.
     """
     spark = predictions.sparkSession
-    scored = score_rows(predictions, mapping)
-    counts, _ = settle(pair_counts(scored, mapping))
+    pairs, _ = settle(_pairs(_read_labels(predictions, mapping), mapping))
+    counts = pairs.filter("labelled").drop("labelled")
+    present = [r["split"] for r in pairs.select("split").distinct().collect()]
     known = universe_labels(mapping)
     if known:
-        rows = [(r["split"], i, v) for r in counts.select("split").distinct().collect() for i, v in enumerate(known)]
+        rows = [(split, i, v) for split in present for i, v in enumerate(known)]
         universe = local_table(spark, rows, "split string, pos int, label string")
     else:
         universe = _inferred_universe(
@@ -240,8 +257,7 @@ def evaluate(
     binary = binary_f1(scores, binary_f1_on)
     averages = f1_scores(scores).join(binary, "split", "left_anti")
     summary = checked.join(binary, "split", "left").join(averages, "split", "left")
-    handed = splits if splits is not None else [r["split"] for r in predictions.select("split").distinct().collect()]
-    listed = local_table(spark, [(s,) for s in handed], "split string")
+    listed = local_table(spark, [(s,) for s in (present if splits is None else splits)], "split string")
     summary = (
         listed.join(summary, "split", "left")
         .withColumn("error", F.when(F.col("total").isNull(), NO_LABELS).otherwise(F.col("error")))

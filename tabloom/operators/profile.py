@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabloom.functions.keys import class_of
 from tabloom.functions.text import plain_sql, quoted
 from tabloom.operators.quantiles import quantiles
-from tabloom.session import local_table
+from tabloom.session import local_table, settle
 
 # Limits of the profile.
 MAX_COLUMNS = 60
@@ -225,18 +225,17 @@ def head_sample(df: DataFrame, order_by: Sequence[str], n: int = HEAD_ROWS, max_
     return df.orderBy(*order_by).limit(n).select(*[f"`{c}`" for c in df.columns[:max_cols]])
 
 
-def profile(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
+def profile(df: DataFrame, order_by: Sequence[str], approximate: bool = False) -> dict[str, DataFrame]:
     """All profile tables.
 
-    Distinct, missing and value counts share one persisted value table; release it
-    with ``result["values"].unpersist()``.
+    The column table is settled, since the categorical rule and the choice of value
+    counts read it; value counts then touch low-cardinality columns only. The
+    approximate form sketches distinct counts and shuffles no values for them.
     """
-    values = value_table(df).persist()
-    described = profile_from_values(df, values, df.columns)
-    chosen = (
-        described.filter(is_categorical()).orderBy("position").limit(MAX_CATEGORICAL).select("column")
-    )
-    counts = top_values(values.join(F.broadcast(chosen), "column", "left_semi"))
+    exact = column_profile(df, None, approximate).drop("n_more")
+    described, _ = settle(exact)
+    categorical = categorical_columns(df) if approximate else described.filter(is_categorical())
+    chosen = sorted(categorical.collect(), key=lambda r: r["position"])[:MAX_CATEGORICAL]
     shown = described.filter(F.col("position") < MAX_COLUMNS).withColumn(
         "n_more", F.lit(max(0, len(df.columns) - MAX_COLUMNS))
     )
@@ -244,10 +243,9 @@ def profile(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
         "shape": table_shape(df),
         "columns": shown,
         "numeric": numeric_summary(df),
-        "categorical": described.filter(is_categorical()),
-        "value_counts": counts,
+        "categorical": categorical,
+        "value_counts": value_counts(df, [r["column"] for r in chosen]),
         "head": head_sample(df, order_by),
-        "values": values,
     }
 
 

@@ -5,7 +5,8 @@ every row, the jobs here look for the one hash per class at which the quota is
 reached; picking is then a narrow comparison against that hash, so the rows
 themselves are never shuffled.
 
-1. While a class has more candidates than ``RESOLVE_ROWS``, count them by the next
+1. While a class has more candidates than ``RESOLVE_ROWS`` (or all classes together
+   more than that per shuffle partition), count them by the next
    three hex digits and keep only the bucket in which the quota is crossed. Each
    round reads key and class columns and divides the candidates by 4096.
 2. Count the remaining candidates by hash (copies of one key collapse before the
@@ -17,19 +18,21 @@ themselves are never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import class_of, content_hash, row_hash
+from tabloom.functions.text import quoted
 from tabloom.session import settle
 
 HEX_STEP = 3
 HASH_DIGITS = 32
 RESOLVE_ROWS = 1_000_000
-# Copies of one row are generated in blocks of this many per task record.
-COPY_BLOCK = 10_000
+# Rows repeated more often than this are spread over the cluster first.
+NARROW_COPIES = 16
 
 
 def class_counts(df: DataFrame, label: str | None) -> tuple[DataFrame, bool]:
@@ -45,20 +48,25 @@ def attach(df: DataFrame, table: DataFrame, small: bool, how: str = "left") -> D
 def repeat_rows(df: DataFrame, times: str, index: str, most: int) -> DataFrame:
     """Each row ``times`` times, numbered from 1 in ``index``.
 
-    ``most`` is the largest value of ``times``. When one row has very many copies
-    they are produced in blocks spread over the cluster.
+    ``most`` is the largest value of ``times``. Few copies are made in place. Rows
+    with many copies go out as blocks of copies dealt round-robin to all tasks, so
+    neither a rare class nor a single hot row fills one task; the other rows, the
+    bulk of the table, still do not move.
     """
-    rows = df.filter(F.col(times) > 0)
-    if most <= COPY_BLOCK:
-        numbers = F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))
-        return rows.withColumn(index, F.explode(numbers))
-    last_block = F.floor((F.col(times) - 1) / COPY_BLOCK)
-    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-    # Round-robin: the blocks of one hot row land on different tasks.
-    spread = blocks.repartition(_partitions(df))
-    first = F.col("_block") * COPY_BLOCK + 1
-    last = F.least(F.col(times).cast("long"), (F.col("_block") + 1) * COPY_BLOCK)
-    return spread.withColumn(index, F.explode(F.sequence(first, last))).drop("_block")
+    count = F.col(times).cast("long")
+    one = F.lit(1).cast("long")
+    few = df.filter((count > 0) & (count <= NARROW_COPIES)).withColumn(index, F.explode(F.sequence(one, count)))
+    if most <= NARROW_COPIES:
+        return few
+    block = max(NARROW_COPIES, math.isqrt(most))
+    last_block = F.floor((count - 1) / block)
+    blocks = df.filter(count > NARROW_COPIES).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block))
+    )
+    first = F.col("_block") * block + 1
+    last = F.least(count, (F.col("_block") + 1) * block)
+    many = blocks.repartition(_partitions(df)).withColumn(index, F.explode(F.sequence(first, last)))
+    return few.unionByName(many.drop("_block"))
 
 
 def _partitions(df: DataFrame) -> int:
@@ -86,8 +94,8 @@ def _cut_hashes(slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: i
     state = quotas.select("_class", F.lit("").alias("_prefix"), F.col("q").alias("_need"), F.col("n").alias("_left"))
     digits = 0
     while digits + HEX_STEP <= HASH_DIGITS:
-        most = state.agg(F.max("_left")).first()[0]
-        if most is None or most <= resolve_rows:
+        most, together = state.agg(F.max("_left"), F.sum("_left")).first()
+        if most is None or (most <= resolve_rows and together <= resolve_rows * _partitions(slim)):
             break
         digits += HEX_STEP
         inside = _inside(slim, state, small)
@@ -134,7 +142,7 @@ def pick_lowest(
     table; ``small`` tells whether it may be broadcast. No row is lost: the result
     is ``df`` plus the boolean column ``into``.
     """
-    columns = df.columns
+    columns = [quoted(c) for c in df.columns]
     work = df.withColumns({"_class": class_of(label), "_h": row_hash(key, seed)})
     cuts, cuts_small = _cut_hashes(
         work.select("_class", "_h"), quotas.filter("q > 0 AND q < n"), small, resolve_rows
@@ -157,7 +165,7 @@ def pick_lowest(
     same_key = F.coalesce((F.col("_h") == F.col("_cut")) & ~tie_taken, F.lit(False))
     tied = (
         joined.filter(same_key)
-        .withColumn("_h", content_hash(columns, seed))
+        .withColumn("_h", content_hash(df.columns, seed))
         .select("_class", "_h")
     )
     inner, _ = _cut_hashes(tied, tie_quotas, cuts_small, resolve_rows)
@@ -166,7 +174,7 @@ def pick_lowest(
     )
     most = inner.agg(F.max("_tied2")).first()[0]
     second = attach(joined.withColumn("_same", same_key), inner, cuts_small).withColumn(
-        "_h2", F.when(F.col("_same"), content_hash(columns, seed))
+        "_h2", F.when(F.col("_same"), content_hash(df.columns, seed))
     )
     split_copies = F.coalesce(
         F.col("_same") & (F.col("_h2") == F.col("_cut2")) & (F.col("_take2") < F.col("_tied2")), F.lit(False)

@@ -24,7 +24,7 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "array", partitions
     """
     if fmt == "array":
         rows = spark.read.schema(EXAMPLE_SCHEMA).option("multiLine", True).json(path)
-        return rows.repartition(partitions) if partitions else rows.repartition()
+        return rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     if fmt == "json":
         return spark.read.schema(EXAMPLE_SCHEMA).json(path)
     return spark.read.format(fmt).load(path)
