@@ -105,7 +105,9 @@ def rank_correlation(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame
     """
     if is_text_like(df.schema[y].dataType):
         df, y = encode_label(df, y, "_y_code"), "_y_code"
-    found = column_stat(df, columns, "abs(nanvl(corr(v, y), 0D))", y)
+    # corr() itself fails on a column without variance in ANSI mode.
+    spread = "stddev_pop(CASE WHEN y IS NOT NULL THEN v END) * stddev_pop(y)"
+    found = column_stat(df, columns, f"abs(try_divide(covar_pop(v, y), {spread}))", y)
     return ranking(df.sparkSession, "correlation", {c: found.get(c) for c in columns})
 
 
