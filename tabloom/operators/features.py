@@ -26,18 +26,27 @@ MI_BINS = 10
 SCORE_DIGITS = 9
 
 
-def column_stat(
-    df: DataFrame, columns: Sequence[str], stat: str, y: str | None = None
-) -> dict[str, float | None]:
-    """One statistic per column in one pass.
-
-    ``stat`` is an SQL aggregate over ``v`` (the value) and ``y`` (the target). It
-    runs over (position, value) pairs: the plan does not grow with the columns and
-    partial aggregates leave one row per column and task.
+# Statistics of a feature over v (its value) and y (the target). corr() itself fails
+# on a column without variance in ANSI mode.
+VARIANCE = "var_pop(v)"
+CORRELATION = (
+    "abs(try_divide(covar_pop(v, y), stddev_pop(CASE WHEN y IS NOT NULL THEN v END) * stddev_pop(y)))"
+)
+
+
+def column_stats(
+    df: DataFrame, columns: Sequence[str], stats: Sequence[str], y: str | None = None
+) -> list[dict[str, float | None]]:
+    """Statistics of many columns in one pass, one ``{column: value}`` per statistic.
+
+    Each is an SQL aggregate over ``v`` and ``y``. It runs over (position, value)
+    pairs: the plan does not grow with the columns and partial aggregates leave one
+    row per column and task.
     """
     target = f"CAST({quoted(y)} AS DOUBLE) AS y" if y else "CAST(NULL AS DOUBLE) AS y"
-    rows = long_values(df, columns, target).groupBy("pos").agg(F.expr(stat).alias("s")).collect()
-    return {columns[r["pos"]]: r["s"] for r in rows}
+    wanted = [F.expr(s).alias(f"s{i}") for i, s in enumerate(stats)]
+    rows = long_values(df, columns, target).groupBy("pos").agg(*wanted).collect()
+    return [{columns[r["pos"]]: r[f"s{i}"] for r in rows} for i in range(len(stats))]
 
 
 def impute_median(
@@ -58,7 +67,7 @@ def impute_median(
 
 def column_variances(df: DataFrame, columns: Sequence[str], threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
     """``(feature, variance, kept)`` with population variances."""
-    found = column_stat(df, columns, "var_pop(v)")
+    found = column_stats(df, columns, [VARIANCE])[0]
     rows = [(c, found.get(c), found.get(c) is not None and found[c] > threshold) for c in columns]
     return local_table(df.sparkSession, rows, "feature string, variance double, kept boolean")
 
@@ -67,10 +76,14 @@ def variance_filter(
     df: DataFrame, columns: Sequence[str], threshold: float = VARIANCE_THRESHOLD
 ) -> list[str]:
     """Columns whose population variance exceeds the threshold, in order."""
-    kept = {r["feature"] for r in column_variances(df, columns, threshold).filter("kept").collect()}
+    return _varied(column_stats(df, columns, [VARIANCE])[0], columns, threshold)
+
+
+def _varied(variances: Mapping[str, float | None], columns: Sequence[str], threshold: float) -> list[str]:
+    kept = [c for c in columns if variances.get(c) is not None and variances[c] > threshold]
     if not kept:
         raise ValueError(f"no feature has a variance above {threshold}")
-    return [c for c in columns if c in kept]
+    return kept
 
 
 def encode_label(df: DataFrame, y: str, into: str = "y_code") -> DataFrame:
@@ -103,25 +116,33 @@ def rank_correlation(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame
 
     A text-like target is encoded; a numeric one is used as it is.
     """
-    if is_text_like(df.schema[y].dataType):
-        df, y = encode_label(df, y, "_y_code"), "_y_code"
-    # corr() itself fails on a column without variance in ANSI mode.
-    spread = "stddev_pop(CASE WHEN y IS NOT NULL THEN v END) * stddev_pop(y)"
-    found = column_stat(df, columns, f"abs(try_divide(covar_pop(v, y), {spread}))", y)
+    coded, code = _coded(df, y)
+    found = column_stats(coded, columns, [CORRELATION], code)[0]
     return ranking(df.sparkSession, "correlation", {c: found.get(c) for c in columns})
 
 
+def _coded(df: DataFrame, y: str) -> tuple[DataFrame, str]:
+    """The table with a numeric target: text is encoded, numbers are used as they are."""
+    return (encode_label(df, y, "_y_code"), "_y_code") if is_text_like(df.schema[y].dataType) else (df, y)
+
+
 def bin_sql(value: str, edges: Sequence[str]) -> str:
     """Equal-frequency bin of a value as SQL: how many edges lie below it."""
     return " + ".join(f"CAST({value} > {e} AS INT)" for e in edges)
 
 
 def rank_mutual_info(
-    df: DataFrame, columns: Sequence[str], y: str, task: str = "multiclass", bins: int = MI_BINS
+    df: DataFrame,
+    columns: Sequence[str],
+    y: str,
+    task: str = "multiclass",
+    bins: int = MI_BINS,
+    counts: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Mutual information (natural log) of equal-frequency bins with the target.
 
     Classes are compared as text; a regression target is binned like a feature.
+    ``counts`` are the non-missing values per column, when known already.
     Counting is one shuffle of at most features x bins x classes groups; the
     entropies come from grouping sets over those counts.
     """
@@ -131,7 +152,7 @@ def rank_mutual_info(
         target = bin_sql(plain_sql(y), [f"{e!r}D" for e in quantiles(rows, [y], probs)[y] if e is not None] or ["0D"])
     else:
         target = f"CAST({quoted(y)} AS STRING)"
-    edges = quantiles(rows, columns, probs)
+    edges = quantiles(rows, columns, probs, counts)
     names = [f"e{i}" for i in range(len(probs))]
     # One row per column: the size is known from the schema.
     limits = local_table(
@@ -222,12 +243,15 @@ def select_features(
     extra = [k for k in key if k not in numeric]
     rows = drop_missing_target(df, target).select(*[f"`{c}`" for c in [*extra, target, *numeric]])
     filled = impute_median(rows, numeric)
-    varied = variance_filter(filled, numeric, threshold)
+    # Sizes, variances and correlations share one pass.
+    coded, code = _coded(filled, target)
+    sizes, variances, correlations = column_stats(coded, numeric, ["count(v)", VARIANCE, CORRELATION], code)
+    varied = _varied(variances, numeric, threshold)
     parts = []
     if "correlation" in methods:
-        parts.append(rank_correlation(filled, varied, target))
+        parts.append(ranking(df.sparkSession, "correlation", {c: correlations.get(c) for c in varied}))
     if "mutual_info" in methods:
-        parts.append(rank_mutual_info(filled, varied, target, task))
+        parts.append(rank_mutual_info(filled, varied, target, task, counts=sizes))
     if "random_forest" in methods:
         from tabloom.operators.forest import rank_forest
 

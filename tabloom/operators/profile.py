@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def is_text_like(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.NumericType, T.BooleanType))
 
 
+def _family(dtype: T.DataType) -> str:
+    """Type in which values of a column are counted."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "BIGINT"
+    return "DOUBLE" if isinstance(dtype, T.DoubleType) else "STRING"
+
+
 def _cell(field: T.StructField) -> str:
     """Value as text, in SQL; NaN is missing and -0.0 equals 0.0."""
     c = quoted(field.name)
@@ -59,20 +67,29 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def value_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` with a null bucket: one expand, one shuffle.
+    """``(column, value, n)`` with a null bucket.
 
-    Distinct counts, missing counts and value counts all follow from it. Partial
-    counts collapse frequent values before the shuffle.
+    Distinct counts, missing counts and value counts all follow from it. Whole
+    numbers, doubles and texts are counted apart, each in its own type: every
+    column is read and expanded once, the shuffle carries positions and plain
+    values, and only distinct values are turned into text. Partial counts collapse
+    frequent values before the shuffle.
     """
-    fields = _fields(df, columns)
-    cells = ", ".join(_cell(f) for f in fields)
+    families: dict[str, list[T.StructField]] = {}
+    for f in _fields(df, columns):
+        families.setdefault(_family(f.dataType), []).append(f)
+    return reduce(DataFrame.unionByName, [_count_values(df, kind, fs) for kind, fs in families.items()])
+
+
+def _count_values(df: DataFrame, family: str, fields: Sequence[T.StructField]) -> DataFrame:
+    plain = {"BIGINT": lambda f: f"CAST({quoted(f.name)} AS BIGINT)", "DOUBLE": lambda f: plain_sql(f.name), "STRING": _cell}
+    cells = ", ".join(plain[family](f) for f in fields)
     counts = (
         df.selectExpr(f"posexplode(array({cells})) AS (pos, value)")
         .groupBy("pos", "value").agg(F.count("*").alias("n"))
     )
-    # Names are attached after counting: the shuffle carries a position, not a name.
     names = F.array(*[F.lit(f.name) for f in fields])
-    return counts.select(F.get(names, F.col("pos")).alias("column"), "value", "n")
+    return counts.select(F.get(names, F.col("pos")).alias("column"), F.col("value").cast("string").alias("value"), "n")
 
 
 def _position_table(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -20,9 +20,12 @@ from tabloom.session import local_table
 
 # Pieces with at most this many values are sorted directly.
 RESOLVE_VALUES = 1_000_000
-# Cut values are taken from this many equal steps of the approximate distribution.
-GRID = 1000
-ACCURACY = 20_000
+# Accuracy of the approximate distribution (memory of its sketch per column): the
+# finer one for pieces above LARGE_PIECE, where it saves rounds.
+LARGE_PIECE = 100_000_000
+ACCURACY, LARGE_ACCURACY = 1000, 10_000
+# Cut values lie on a grid this many times coarser than the accuracy.
+GRID_FACTOR = 10
 
 
 def long_values(df: DataFrame, columns: Sequence[str], *carried: str) -> DataFrame:
@@ -120,25 +123,31 @@ def _read_off(spark, values, pieces, wanted):
 
 def _narrow(spark, values, pieces, wanted, found):
     """Cut large pieces around the wanted ranks; returns the pieces left to look at."""
-    grid = [i / GRID for i in range(GRID + 1)]
+    accuracy = LARGE_ACCURACY if max(p[4] for p in pieces) > LARGE_PIECE else ACCURACY
+    steps_in_all = accuracy // GRID_FACTOR
+    grid = [i / steps_in_all for i in range(steps_in_all + 1)]
     approx = _inside(spark, values, pieces).groupBy("piece").agg(
-        F.percentile_approx("v", grid, ACCURACY).alias("grid")
+        F.percentile_approx("v", grid, accuracy).alias("grid")
     )
     cuts: dict[int, list[float]] = {}
     for row in approx.collect():
         piece = pieces[row["piece"]]
         steps = set()
         for rank in _ranks_in(piece, wanted):
-            at = (rank - piece[3]) / piece[4] * GRID
-            steps |= {max(0, math.floor(at) - 1), min(GRID, math.ceil(at) + 1)}
+            at = (rank - piece[3]) / piece[4] * steps_in_all
+            steps |= {max(0, math.floor(at) - 1), min(steps_in_all, math.ceil(at) + 1)}
         cuts[row["piece"]] = sorted({row["grid"][s] for s in steps})
 
-    extra = [(cuts[i],) for i in range(len(pieces))]
-    tagged = _inside(spark, values, pieces, extra, ", cuts array<double>")
-    below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    upto = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    # Cuts are padded with nulls to plain columns, which stay in generated code.
+    width = max(map(len, cuts.values()))
+    extra = [(*cuts[i], *[None] * (width - len(cuts[i]))) for i in range(len(pieces))]
+    names = [f"c{k}" for k in range(width)]
+    tagged = _inside(spark, values, pieces, extra, "".join(f", {n} double" for n in names))
     # Even codes lie between two cuts, odd codes on a cut.
-    sizes = tagged.groupBy("piece", (below + upto).alias("code")).agg(F.count("*").alias("n"))
+    code = " + ".join(
+        f"CAST(coalesce(v > {n}, false) AS INT) + CAST(coalesce(v >= {n}, false) AS INT)" for n in names
+    )
+    sizes = tagged.selectExpr("piece", f"{code} AS code").groupBy("piece", "code").agg(F.count("*").alias("n"))
     per_piece: dict[int, dict[int, int]] = {}
     for row in sizes.collect():
         per_piece.setdefault(row["piece"], {})[row["code"]] = row["n"]

@@ -30,7 +30,7 @@ from tabloom.session import settle
 
 HEX_STEP = 3
 HASH_DIGITS = 32
-RESOLVE_ROWS = 1_000_000
+RESOLVE_ROWS = 100_000
 # Rows repeated more often than this are spread over the cluster first.
 NARROW_COPIES = 16
 
