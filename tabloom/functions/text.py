@@ -25,10 +25,13 @@ def quoted(name: str) -> str:
 
 
 def plain_sql(name: str) -> str:
-    """``as_plain`` as SQL text: wide tables build one expression per column, and a
-    text costs one call to the JVM where chained Column calls cost many."""
-    c = f"CAST({quoted(name)} AS DOUBLE)"
-    return f"CASE WHEN NOT isnan({c}) THEN {c} + 0D END"
+    """A number as double with NaN read as missing, as SQL text.
+
+    Wide tables build one expression per column: a text costs one call to the JVM
+    where chained Column calls cost many, and the short form keeps the generated
+    method small enough to be compiled.
+    """
+    return f"nanvl(CAST({quoted(name)} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 def as_plain(c: Column) -> Column:

@@ -36,7 +36,7 @@ def _settled_order(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def _model(task: str, label: str, n_trees: int, max_depth: int):
     common = dict(
         featuresCol="_features", labelCol=label, numTrees=n_trees, maxDepth=max_depth, seed=SEED,
-        maxMemoryInMB=512, cacheNodeIds=True,
+        maxMemoryInMB=512,
     )
     if task == "regression":
         return RandomForestRegressor(featureSubsetStrategy="all", predictionCol="_prediction", **common)

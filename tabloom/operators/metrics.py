@@ -48,7 +48,10 @@ def universe_labels(mapping: LabelMap) -> list[str]:
 
 def label_universe(scored: DataFrame, mapping: LabelMap) -> DataFrame:
     """``(split, pos, label)``: mapped labels in order, else the sorted truths of the
-    split; UNPARSED last unless it is a label already."""
+    split; UNPARSED last unless it is a label already.
+
+    ``scored`` are scored rows or, cheaper, their pair counts.
+    """
     splits = scored.select("split").distinct()
     known = universe_labels(mapping)
     if known:

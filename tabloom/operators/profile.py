@@ -82,12 +82,12 @@ def value_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 
 def _count_values(df: DataFrame, family: str, fields: Sequence[T.StructField]) -> DataFrame:
-    plain = {"BIGINT": lambda f: f"CAST({quoted(f.name)} AS BIGINT)", "DOUBLE": lambda f: plain_sql(f.name), "STRING": _cell}
-    cells = ", ".join(plain[family](f) for f in fields)
-    counts = (
-        df.selectExpr(f"posexplode(array({cells})) AS (pos, value)")
-        .groupBy("pos", "value").agg(F.count("*").alias("n"))
-    )
+    cells = ", ".join(_cell(f) if family == "STRING" else f"CAST({quoted(f.name)} AS {family})" for f in fields)
+    tall = df.selectExpr(f"posexplode(array({cells})) AS (pos, value)")
+    if family == "DOUBLE":
+        tall = tall.selectExpr("pos", "nanvl(value, CAST(NULL AS DOUBLE)) AS value")
+    # Grouping folds -0.0 into 0.0.
+    counts = tall.groupBy("pos", "value").agg(F.count("*").alias("n"))
     names = F.array(*[F.lit(f.name) for f in fields])
     return counts.select(F.get(names, F.col("pos")).alias("column"), F.col("value").cast("string").alias("value"), "n")
 

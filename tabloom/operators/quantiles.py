@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import plain_sql
+from tabloom.functions.text import quoted
 from tabloom.session import local_table
 
 # Pieces with at most this many values are sorted directly.
@@ -34,8 +34,9 @@ def long_values(df: DataFrame, columns: Sequence[str], *carried: str) -> DataFra
     ``pos`` is the position of the column in ``columns``: a short key to shuffle.
     ``carried`` are SQL expressions kept beside each value.
     """
-    cells = ", ".join(plain_sql(c) for c in columns)
-    return df.selectExpr(*carried, f"posexplode(array({cells})) AS (pos, v)").filter("v IS NOT NULL")
+    cells = ", ".join(f"CAST({quoted(c)} AS DOUBLE)" for c in columns)
+    # NaN is sorted out after the expand: one test in the code instead of one per column.
+    return df.selectExpr(*carried, f"posexplode(array({cells})) AS (pos, v)").filter("v IS NOT NULL AND NOT isnan(v)")
 
 
 def quantiles(

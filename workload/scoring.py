@@ -47,7 +47,9 @@ def _universe(spark, sf):
 
 
 def _scores(spark, sf):
-    return M.label_scores(_counts(spark, sf), _universe(spark, sf))
+    """The universe is read off the counts too, so both share one exchange."""
+    counts = _counts(spark, sf)
+    return M.label_scores(counts, M.label_universe(counts, STATUS))
 
 
 def rounded(df, *names):
@@ -128,7 +130,8 @@ MATRIX_SQL = f"""SELECT t.split, t.label AS truth, p.label AS pred, coalesce(n,
 
 @query("confusion_matrix", MATRIX_SQL)
 def confusion_matrix(spark, sf):
-    return M.confusion_matrix(_counts(spark, sf), _universe(spark, sf))
+    counts = _counts(spark, sf)
+    return M.confusion_matrix(counts, M.label_universe(counts, STATUS))
 
 
 @query(
@@ -138,8 +141,7 @@ def confusion_matrix(spark, sf):
     ) + f" FROM ({MATRIX_SQL}) m GROUP BY ALL",
 )
 def confusion_wide(spark, sf):
-    matrix = M.confusion_matrix(_counts(spark, sf), _universe(spark, sf))
-    return M.confusion_wide(matrix, [*LABELS, "UNPARSED"])
+    return M.confusion_wide(confusion_matrix(spark, sf), [*LABELS, "UNPARSED"])
 
 
 REPORT_SQL = f"""WITH s AS ({SCORES_SQL})
