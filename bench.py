@@ -12,7 +12,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -25,7 +24,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def session() -> SparkSession:
-    builder = (
+    spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("tabloom-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.adaptive.enabled", "true")
@@ -33,10 +32,8 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+        .getOrCreate()
     )
-    if not os.environ.get("SPARK_CONF_DIR"):
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabloom-bench-"))
-    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -44,7 +41,6 @@ def session() -> SparkSession:
 def workloads():
     from tabloom.operators import balance, examples, features, forest, metrics, profile, split
     from workload import inputs
-    from workload.preparing import LABELLED_SQL  # noqa: F401  (documents the join below)
     from workload.preparing import labelled
     from workload.registry import table
 

@@ -22,15 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session without that setting (tests on one machine) gets a folder of
     its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tabloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tabloom-"))
+    return configured or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
