@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tabloom.llm import exact, simhash
+import public_tokenizers
+
+from tabloom.llm import bpe, exact, mixing, simhash
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -21,3 +23,61 @@ def exact_dedup(spark, sf_dir):
 @query("op2_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_bpe_roundtrip")
+def bpe_roundtrip(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.roundtrip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+MIX_SQL = """
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+           (cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 12)
+                 AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
+    FROM documents
+), sources AS (
+    SELECT source, source_size, w, 3.0 * source_size AS bound, 3.0 * source_size / w AS ratio FROM (
+        SELECT source, sum(size)::BIGINT AS source_size,
+               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+        FROM sized GROUP BY source)
+), shares AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER (ORDER BY ratio, source NULLS LAST
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+    FROM sources
+), targets AS (
+    SELECT source, source_size, CASE WHEN share >= ratio OR free IS NULL THEN bound ELSE least(w * free, bound) END::DOUBLE AS target
+    FROM (SELECT *, first_value(CASE WHEN share < ratio THEN share END IGNORE NULLS) OVER (ORDER BY ratio, source NULLS LAST
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS free FROM shares)
+), parts AS (
+    SELECT d.*, t.source_size, t.target, floor(r) AS sure, r - floor(r) AS part FROM sized d JOIN (
+        SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0.0 END AS r FROM targets) t
+    ON d.source IS NOT DISTINCT FROM t.source
+), keyed AS (
+    SELECT *, CASE WHEN part > 0 AND size > 0 THEN least(floor(odds / (1 + odds) * 4503599627370496.0), 4503599627370495.0) END AS k
+    FROM (SELECT *, CASE WHEN part > 0 THEN u / (1 - u) * (1 - part) / part END AS odds FROM parts)
+), wanted AS (
+    SELECT source, greatest(round(any_value(target) - sum(sure * size)), 0.0) AS want FROM keyed GROUP BY source
+), units AS (
+    SELECT source, k, want, n, sum(n) OVER (PARTITION BY source ORDER BY k) AS total FROM (
+        SELECT d.source, k, want, sum(size) AS n FROM keyed d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source
+        WHERE k IS NOT NULL GROUP BY ALL)
+), cuts AS (
+    SELECT source, coalesce(max(k) FILTER (total <= want), -1) AS cut,
+           any_value(want) - coalesce(max(total) FILTER (total <= want), 0) AS gap FROM units GROUP BY source
+), fits AS (
+    SELECT source, arg_min(k, (abs(n - gap), k)) AS last
+    FROM (SELECT u.*, c.cut, c.gap FROM units u JOIN cuts c ON u.source IS NOT DISTINCT FROM c.source)
+    WHERE k > cut AND n < 2 * gap GROUP BY source
+)
+SELECT d.doc_id, d.size::BIGINT AS size, d.source_size::BIGINT AS source_size, d.target,
+       (size * (sure + CASE WHEN k <= cut OR k = last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM keyed d LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN fits f ON d.source IS NOT DISTINCT FROM f.source
+"""
+
+
+@query("op9_pareto_mix", MIX_SQL)
+def pareto_mix(spark, sf_dir):
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
