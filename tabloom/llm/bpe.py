@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_rows, per_text, text_of
 
-MAX_STATES = 200_000
-MAX_PIECES = 300_000
+MAX_STATES = 400_000
+MAX_PIECES = 600_000
 MAX_CACHED_CHARS = 64
 PIECES_AT_ONCE = 8_192
+NO_TOKEN, ANY = -1, -2
 # Bytes of the class "continues a character".
 CONTINUES = range(0x80, 0xC0)
 
@@ -63,9 +64,15 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        # The two tokens whose merge makes a token: its left part, its right part.
+        self.inner_left: dict[int, int] = {}
+        self.inner_right: dict[int, int] = {}
         for token, rank in ranks.items():
-            if len(token) == 1 or self.merge(token) == [rank]:
+            parts = self.merge(token, 2)
+            if len(parts) <= 2:
                 self._add(token, rank)
+                if len(parts) == 2:
+                    self.inner_left[rank], self.inner_right[rank] = parts
         self._neighbours: dict[tuple[int, int], bool] = {}
         self._start_anew()
 
@@ -79,10 +86,11 @@ class Transducer:
             node = self.children[node][byte]
         self.token_at[node] = rank
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merging by rank, lowest and leftmost first. Used on bytes of one or two tokens only."""
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """Merging by rank, lowest and leftmost first, down to ``stop`` parts. Used on the
+        bytes of single tokens only."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             joined = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
             best = min((r for r in joined if r is not None), default=None)
             if best is None:
@@ -92,47 +100,71 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def neighbours(self, a: int, b: int) -> bool:
+        """Whether merging the joined bytes of two tokens gives these two.
+
+        Undoes the merges on both sides of the border, latest first (the left token's
+        right part, the right token's left part). The two stay apart unless somewhere
+        the parts at the border form a token that merges before the part last undone.
+        """
         pair = (a, b)
         known = self._neighbours.get(pair)
         if known is None:
             if len(self._neighbours) >= self.max_states:
                 self._neighbours.clear()
-            known = self._neighbours[pair] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._neighbours[pair] = self._stay_apart(a, b)
         return known
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        earlier_than = len(self.ranks) + 1
+        inner_right, inner_left = self.inner_right, self.inner_left
+        while True:
+            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if across is not None and across < earlier_than:
+                return False
+            left, right = inner_right.get(a), inner_left.get(b)
+            if left is None and right is None:
+                return True
+            # Of merges of equal rank the left one comes first, so the right one is undone first.
+            if right is None or (left is not None and a > b):
+                earlier_than, a = a, left
+            else:
+                earlier_than, b = b + 1, right
+
     def _start_anew(self) -> None:
-        # A state: chains (the last emitted token first, -1 at the start) with trie nodes.
-        self.states: list[tuple] = [((((-1,)), 0),)]
+        # A state: chains with trie nodes, the newest border first. A chain begins with the
+        # token before it: NO_TOKEN at the start, ANY where nothing depends on it any more.
+        self.states: list[tuple] = [(((NO_TOKEN,), 0),)]
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one transition: the next state and the tokens now certain."""
-        live = []
+        live, border = [], None
         for tokens, node in self.states[state]:
             below = self.children[node].get(byte)
             if below is None:
                 continue
             if self.children[below]:
                 live.append((tokens, below))
-            token = self.token_at[below]
-            if token >= 0 and (tokens[-1] < 0 or self.neighbours(tokens[-1], token)):
-                live.append((tokens + (token,), 0))
-        shared = live[0][0]
-        for tokens, _ in live[1:]:
-            n = 0
-            for a, b in zip(shared, tokens):
-                if a != b:
-                    break
-                n += 1
-            shared = shared[:n]
-        sure = len(shared) - 1
-        target = tuple(sorted((tokens[sure:], node) for tokens, node in live))
+            if border is None:
+                token = self.token_at[below]
+                if token >= 0 and (tokens[-1] < 0 or self.neighbours(tokens[-1], token)):
+                    border = tokens + (token,)
+        live.insert(0, (border, 0))
+        sure, shortest = 1, min([len(tokens) for tokens, _ in live])
+        while sure < shortest and all([tokens[sure] == border[sure] for tokens, _ in live]):
+            sure += 1
+        out = border[1:sure]
+        if out:
+            live = [(tokens[sure - 1:], node) for tokens, node in live]
+        if shortest > sure:
+            live = [((ANY,) + tokens[1:], node) for tokens, node in live]
+        target = tuple(live)
         found = self.number.get(target)
         if found is None:
             found = self.number[target] = len(self.states)
             self.states.append(target)
-        move = (found, shared[1:])
+        move = (found, out)
         self.moves[state << 8 | byte] = move
         return move
 
