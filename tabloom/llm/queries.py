@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabloom.llm import bpe, exact, mixing, simhash
+from tabloom.llm import bpe, exact, mixing, quality, simhash, toxicity
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -81,3 +81,13 @@ FROM keyed d LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source LEFT JOI
 @query("op9_pareto_mix", MIX_SQL)
 def pareto_mix(spark, sf_dir):
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_network")
+def quality_network(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity")
+def toxicity_scores(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
