@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabloom.llm import bpe, exact, mixing, quality, simhash, toxicity
+from tabloom.llm import bpe, exact, mixing, quality, simhash, tokencount, toxicity, warc
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -91,3 +91,14 @@ def quality_network(spark, sf_dir):
 @query("op8_toxicity")
 def toxicity_scores(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_warc_records")
+def warc_records(spark, sf_dir):
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op10_token_counts")
+def token_counts(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return tokencount.document_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
