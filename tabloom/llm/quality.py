@@ -2,8 +2,8 @@
 
 The bytes of a text are read in overlapping windows that cover all of it. Narrow filters
 see 8 bytes every 4 and know the place of each byte; wide filters see 64 bytes every 32
-and know only which bytes are there. Both are tables from byte to a number per filter, so a convolution
-is a sum of table rows. Each filter's largest value over the whole document is kept, passed through a
+and know only which bytes are there, and the largest share of them that repeats the byte one period (2 to 32 bytes)
+before. Filters are tables from byte to a number per filter, so a convolution is a sum of table rows. Each filter's largest value over the whole document is kept, passed through a
 rectifier, and combined linearly into one probability.
 
 Fitting is gradient descent in the driver on a bounded sample (``FIT_ROWS`` documents per label, none over
@@ -30,6 +30,7 @@ FIT_ROWS = 1_500
 FIT_BYTES = 32_768
 NARROW, NARROW_STEP, NARROW_FILTERS = 8, 4, 16
 WIDE, WIDE_STEP, WIDE_FILTERS = 64, 32, 8
+PERIODS = range(2, WIDE_STEP + 1)
 PIECE_BYTES = 1 << 18
 THRESHOLD = 0.3
 
@@ -42,6 +43,7 @@ class Network:
         self.params = {
             "narrow": rng.normal(0, 0.1, (NARROW, 256, NARROW_FILTERS)).astype(np.float32),
             "wide": rng.normal(0, 0.5, (256, WIDE_FILTERS)).astype(np.float32),
+            "repeat": rng.normal(0, 0.5, WIDE_FILTERS).astype(np.float32),
             "lift": np.zeros(NARROW_FILTERS + WIDE_FILTERS, np.float32),
             "weight": rng.normal(0, 0.3, NARROW_FILTERS + WIDE_FILTERS).astype(np.float32),
             "bias": np.zeros(1, np.float32),
@@ -53,23 +55,43 @@ class Network:
         length = max(WIDE, -(-len(data) // WIDE_STEP) * WIDE_STEP)
         return np.frombuffer(data.ljust(length, b" "), np.uint8)
 
-    def maxima(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest value of each filter over a piece, and the byte at which its window starts."""
+    @staticmethod
+    def periodic(seen: np.ndarray, real: int) -> np.ndarray:
+        """Per step, and per period, how many of the first ``real`` bytes repeat the byte one period before."""
+        steps = len(seen) // WIDE_STEP
+        found = np.empty((steps, len(PERIODS)), np.uint8)
+        same = np.zeros(len(seen), bool)
+        for k, period in enumerate(PERIODS):
+            same[:period] = False
+            np.equal(seen[period:], seen[:-period], out=same[period:])
+            same[real:] = False
+            found[:, k] = np.bitwise_count(np.packbits(same).view(np.uint32))
+        return found
+
+    def maxima(self, seen: np.ndarray, real: int, before: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest value of each filter over a piece, the byte at which its window starts, and the share of
+        repeats in the wide ones. The first ``before`` bytes are only looked back at."""
+        repeats = self.periodic(seen, real)[before // WIDE_STEP:].astype(np.float32)
+        repeats = (repeats[:-1] + repeats[1:]).max(axis=1) / WIDE
+        seen = seen[before:]
         places = (len(seen) - NARROW) // NARROW_STEP + 1
         narrow = self.params["narrow"][0][seen[: places * NARROW_STEP: NARROW_STEP]]
         for j in range(1, NARROW):
             narrow += self.params["narrow"][j][seen[j: j + places * NARROW_STEP: NARROW_STEP][:places]]
         halves = self.params["wide"][seen].reshape(-1, WIDE_STEP, WIDE_FILTERS).sum(axis=1)
-        wide = (halves[:-1] + halves[1:]) / WIDE
-        at = np.concatenate((narrow.argmax(axis=0) * NARROW_STEP, wide.argmax(axis=0) * WIDE_STEP))
-        return np.concatenate((narrow.max(axis=0), wide.max(axis=0))), at
+        wide = (halves[:-1] + halves[1:]) / WIDE + repeats[:, None] * self.params["repeat"]
+        top = wide.argmax(axis=0)
+        at = np.concatenate((narrow.argmax(axis=0) * NARROW_STEP, top * WIDE_STEP))
+        return np.concatenate((narrow.max(axis=0), wide.max(axis=0))), at, repeats[top]
 
     def pooled(self, data: bytes) -> np.ndarray:
         """Largest value of each filter over a whole text."""
         seen, best = self.padded(data), None
-        # Pieces overlap by a window; steps stay in phase with the start of the text.
+        # Pieces overlap by half a window; steps stay in phase with the start of the text.
         for at in range(0, max(1, len(seen) - WIDE + 1), PIECE_BYTES):
-            value = self.maxima(seen[at: at + PIECE_BYTES + WIDE - WIDE_STEP])[0]
+            first = max(0, at - WIDE_STEP)
+            piece = seen[first: at + PIECE_BYTES + WIDE - WIDE_STEP]
+            value = self.maxima(piece, max(0, len(data) - first), at - first)[0]
             best = value if best is None else np.maximum(best, value)
         return best
 
@@ -79,7 +101,7 @@ class Network:
 
     def gradients(self, data: bytes, label: int, into: dict[str, np.ndarray]) -> None:
         seen = self.padded(data)
-        value, at = self.maxima(seen)
+        value, at, repeats = self.maxima(seen, len(data))
         active = np.maximum(value + self.params["lift"], 0)
         z = active @ self.params["weight"] + self.params["bias"][0]
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
@@ -87,6 +109,7 @@ class Network:
         into["weight"] += error * active
         back = np.where(active > 0, error * self.params["weight"], 0)
         into["lift"] += back
+        into["repeat"] += back[NARROW_FILTERS:] * repeats
         filters = np.arange(NARROW_FILTERS)
         for j in range(NARROW):
             np.add.at(into["narrow"][j], (seen[at[:NARROW_FILTERS] + j], filters), back[:NARROW_FILTERS])

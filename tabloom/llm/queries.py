@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabloom.llm import bpe, exact, mixing, quality, simhash, tokencount, toxicity, warc
+from tabloom.llm import bpe, embeddings, exact, mixing, quality, simhash, tokencount, toxicity, warc
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -102,3 +102,8 @@ def warc_records(spark, sf_dir):
 def token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return tokencount.document_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op3_embedding_near_dedup")
+def embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_components(table(spark, sf_dir, "embeddings"))
