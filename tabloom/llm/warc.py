@@ -119,18 +119,24 @@ class _Member:
 
     def __init__(self, source, piece: int):
         self.source, self.piece, self.ready = source, piece, bytearray()
-        self.packed, self.inflater = b"", zlib.decompressobj(31)
+        self.packed, self.inflater, self.begun = b"", zlib.decompressobj(31), False
 
     def _more(self) -> bool:
         while True:
             if self.inflater.eof:
-                self.packed, self.inflater = self.inflater.unused_data + self.packed, zlib.decompressobj(31)
+                # What follows the member; the tail may repeat it and is not looked at.
+                self.packed, self.inflater, self.begun = self.inflater.unused_data, zlib.decompressobj(31), False
             if not self.packed:
                 self.packed = self.source.read(self.piece)
                 if not self.packed:
-                    return False
-            made = self.inflater.decompress(self.packed, self.piece)
-            self.packed = self.inflater.unconsumed_tail
+                    # Output may be waiting although all input is taken.
+                    made = self.inflater.decompress(b"", self.piece) if self.begun else b""
+                    if not made and self.begun and not self.inflater.eof:
+                        raise EOFError("the archive ends inside a member")
+                    self.ready += made
+                    return bool(made)
+            made, self.begun = self.inflater.decompress(self.packed, self.piece), True
+            self.packed = b"" if self.inflater.eof else self.inflater.unconsumed_tail
             if made:
                 self.ready += made
                 return True
