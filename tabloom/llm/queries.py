@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabloom.llm import bpe, embeddings, exact, mixing, quality, simhash, tokencount, toxicity, warc
+from tabloom.llm import bpe, embeddings, exact, mixing, quality, simhash, surrogates, tokencount, toxicity, warc
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -107,3 +107,8 @@ def token_counts(spark, sf_dir):
 @query("op3_embedding_near_dedup")
 def embedding_near_dedup(spark, sf_dir):
     return embeddings.near_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_pii_surrogates")
+def pii_surrogates(spark, sf_dir):
+    return surrogates.replace_report(table(spark, sf_dir, "documents"))
