@@ -21,12 +21,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_rows, per_text, stage, text_of
+from tabloom.llm.common import as_rows, in_slices, per_text, stage, text_of
 
 KEY = b"change this key"
 ROUNDS = 8
@@ -133,6 +136,9 @@ def respelled(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> s
         value, at = divmod(value, len(letters))
         out.append(letters[at])
     out.reverse()
+    if hexadecimal:
+        fresh = "".join(out)
+        return fresh.upper() if text == text.upper() else fresh
     return "".join(o.upper() if c != s else o for c, s, o in zip(text, small, out))
 
 
@@ -216,12 +222,12 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span("value"), kind) for m in pattern.finditer(text)]
     rank = {kind: i for i, (kind, _) in reversed(list(enumerate(PATTERNS)))}
     kept: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
     for start, end, kind in sorted(found, key=lambda f: (rank[f[2]], f[0], -f[1])):
-        if not any(s < end and start < e for s, e in taken[-200:]) and not any(s < end and start < e for s, e in taken[:-200]):
-            taken.append((start, end))
-            kept.append((start, end, kind))
-    return sorted(kept)
+        # The kept places do not overlap, so only the neighbours in order can.
+        at = bisect(kept, (start, end, kind))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (start, end, kind))
+    return kept
 
 
 def script_of(word: str) -> str:
@@ -303,7 +309,7 @@ def _rewritten(text: str, known: dict[str, str], key: bytes) -> tuple[str, int,
 
 
 def _replaced(rows: DataFrame, key: bytes) -> DataFrame:
-    """``rows`` (with ``_text``) with ``_new``, ``_n`` and ``_kinds``."""
+    """``rows`` with ``_new``, ``_n`` and ``_kinds`` in place of ``_text``."""
     named = F.coalesce(F.col("_text").rlike(NAMED_IN_SPARK), F.lit(False))
     plain, with_names = rows.filter(~named), rows.filter(named)
     table = name_map(with_names, key)
@@ -319,20 +325,18 @@ def _replaced(rows: DataFrame, key: bytes) -> DataFrame:
     joined = with_names.join(needed, F.sha2("_text", 256) == F.col("_key"), "left").drop("_key")
     none = F.lit(None).cast("map<string,string>")
     both = plain.withColumn("_known", none).unionAll(joined.select(*rows.columns, "_known"))
-    packed = both.withColumn("_all", F.struct("_text", F.map_keys("_known").alias("k"), F.map_values("_known").alias("v")))
-
-    @F.pandas_udf("new string, n bigint, kinds array<string>")
-    def rewrite(column):
-        import pandas as pd
-
-        made = []
-        for text, k, v in zip(column["_text"], column["k"], column["v"]):
-            known = dict(zip(k, v)) if k is not None else {}
-            made.append((None, 0, []) if text is None else _rewritten(text, known, key))
-        return pd.DataFrame(made, columns=["new", "n", "kinds"])
-
-    done = packed.withColumn("_made", rewrite("_all"))
-    return done.select(*rows.columns, F.col("_made.new").alias("_new"), F.col("_made.n").alias("_n"), F.col("_made.kinds").alias("_kinds"))
+    kept = [c for c in rows.columns if c != "_text"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in both.dtypes if c in kept) + ", _new string, _n bigint, _kinds array<string>"
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "_text"):
+            texts, maps = batch.column("_text").to_pylist(), batch.column("_known").to_pylist()
+            made = [(None, 0, []) if t is None else _rewritten(t.decode("utf-8", "replace"), dict(m or ()), key) for t, m in zip(texts, maps)]
+            fresh = [pa.array([r[0] for r in made], pa.string()), pa.array([r[1] for r in made], pa.int64()),
+                     pa.array([r[2] for r in made], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *fresh], [*kept, "_new", "_n", "_kinds"])
+
+    return both.select(*kept, F.col("_text").cast("binary").alias("_text"), "_known").mapInArrow(rewrite, schema)
 
 
 def _count(kind: str) -> Column:
