@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import as_rows, per_text, text_of
 
 MAX_STATES = 200_000
-MAX_PIECES = 250_000
+MAX_PIECES = 150_000
 MAX_CACHED_CHARS = 64
 PIECES_AT_ONCE = 8_192
 NO_TOKEN, ANY = -1, -2
@@ -73,7 +74,7 @@ class Transducer:
                 self._add(token, rank)
                 if len(parts) == 2:
                     self.inner_left[rank], self.inner_right[rank] = parts
-        self._neighbours: dict[tuple[int, int], bool] = {}
+        self._neighbours: dict[int, bool] = {}
         self._start_anew()
 
     def _add(self, token: bytes, rank: int) -> None:
@@ -106,7 +107,7 @@ class Transducer:
         right part, the right token's left part). The two stay apart unless somewhere
         the parts at the border form a token that merges before the part last undone.
         """
-        pair = (a, b)
+        pair = a << 32 | b
         known = self._neighbours.get(pair)
         if known is None:
             if len(self._neighbours) >= self.max_states:
@@ -133,14 +134,16 @@ class Transducer:
     def _start_anew(self) -> None:
         # A state: chains with trie nodes, the newest border first. A chain begins with the
         # token before it: NO_TOKEN at the start, ANY where nothing depends on it any more.
-        self.states: list[tuple] = [(((NO_TOKEN,), 0),)]
+        # States are kept packed; a move is the next state, times two, plus one if it emits.
+        self.states: list[bytes] = [marshal.dumps((((NO_TOKEN,), 0),), 2)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> int:
         """Determinise one transition: the next state and the tokens now certain."""
         live, border = [], None
-        for tokens, node in self.states[state]:
+        for tokens, node in marshal.loads(self.states[state]):
             below = self.children[node].get(byte)
             if below is None:
                 continue
@@ -159,13 +162,16 @@ class Transducer:
             live = [(tokens[sure - 1:], node) for tokens, node in live]
         if shortest > sure:
             live = [((ANY,) + tokens[1:], node) for tokens, node in live]
-        target = tuple(live)
+        # Without references between equal parts, so that equal states have equal bytes.
+        target = marshal.dumps(tuple(live), 2)
         found = self.number.get(target)
         if found is None:
             found = self.number[target] = len(self.states)
             self.states.append(target)
-        move = (found, out)
-        self.moves[state << 8 | byte] = move
+        key = state << 8 | byte
+        if out:
+            self.emits[key] = out
+        move = self.moves[key] = found << 1 | bool(out)
         return move
 
     def piece(self, data: bytes) -> list[int]:
@@ -178,20 +184,21 @@ class Transducer:
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in data:
-            move = moves.get(state << 8 | byte)
+            key = state << 8 | byte
+            move = moves.get(key)
             if move is None:
                 move = self._move(state, byte)
-            state, sure = move
-            if sure:
-                out += sure
-            elif len(self.states) > 2 * self.max_states:
-                # Inside a very long piece: keep the current configurations only.
+            if move & 1:
+                out += self.emits[key]
+            state = move >> 1
+            if len(self.states) > 2 * self.max_states:
+                # Inside a very long piece: go on from the current configurations only.
                 current = self.states[state]
                 self._start_anew()
                 moves, state = self.moves, self.number.setdefault(current, len(self.states))
                 if state == len(self.states):
                     self.states.append(current)
-        for tokens, node in self.states[state]:
+        for tokens, node in marshal.loads(self.states[state]):
             if node == 0:
                 out += tokens[1:]
         return out

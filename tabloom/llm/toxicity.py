@@ -42,8 +42,8 @@ FIT_BYTES = 32_768
 MAX_TERMS = 1_000
 MIN_LOG_ODDS = 2.5
 MIN_SHARE = 0.01
-MAX_STATES = 200_000
-MAX_WORDS = 400_000
+MAX_STATES = 50_000
+MAX_WORDS = 200_000
 WINDOW = 8
 PIECE_CHARS = 1 << 20
 THRESHOLD = 0.5
@@ -83,7 +83,7 @@ class Matcher:
             for step in path:
                 self.reach[step] = max(self.reach[step], edits[number])
         self._start_anew()
-        self._words: dict[str, list[tuple[int, int]]] = {}
+        self._words: dict[str, tuple] = {}
 
     def _closed(self, spent: dict[int, int]) -> tuple:
         """Add the nodes reached by leaving out letters; a state in canonical form."""
@@ -120,7 +120,7 @@ class Matcher:
         self.moves[state, letter] = found
         return found
 
-    def match(self, word: str) -> list[tuple[int, int]]:
+    def match(self, word: str) -> tuple:
         found = self._words.get(word)
         if found is None:
             if len(self.states) > MAX_STATES:
@@ -130,15 +130,15 @@ class Matcher:
             found = self._words[word] = self._run(word)
         return found
 
-    def _run(self, word: str) -> list[tuple[int, int]]:
+    def _run(self, word: str) -> tuple:
         state = 0
         for letter in word:
             move = self.moves.get((state, letter))
             state = self._move(state, letter) if move is None else move
             if not self.states[state]:
-                return []
+                return ()
         hits = [(self.term_at[n], used) for n, used in self.states[state] if n in self.term_at]
-        return [(term, used) for term, used in hits if used <= self.edits[term]]
+        return tuple((term, used) for term, used in hits if used <= self.edits[term])
 
 
 @dataclass
