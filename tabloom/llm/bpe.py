@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_rows, per_text, text_of
 
-MAX_STATES = 200_000
-MAX_PIECES = 150_000
+MAX_STATES = 250_000
+MAX_PIECES = 300_000
 MAX_CACHED_CHARS = 64
 PIECES_AT_ONCE = 8_192
 NO_TOKEN, ANY = -1, -2
@@ -213,21 +213,25 @@ class Codec:
         self.bytes_of = self.machine.bytes_of
         self.digits = {i: str(i) for i in self.bytes_of}
         self._pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.machine.piece(piece.encode()))
-        made = ids, ",".join([self.digits[i] for i in ids])
+        made = self._pieces.get(piece) or self._older.get(piece)
+        if made is None:
+            ids = tuple(self.machine.piece(piece.encode()))
+            made = ids, ",".join([self.digits[i] for i in ids])
         if len(piece) <= MAX_CACHED_CHARS:
-            if len(self._pieces) >= MAX_PIECES:
-                self._pieces.clear()
+            # Two generations: what was not met again while one filled up is forgotten.
+            if len(self._pieces) >= MAX_PIECES // 2:
+                self._pieces, self._older = {}, self._pieces
             self._pieces[piece] = made
         return made
 
     def encode(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
         """Blocks of pieces, each with its ids and their decimal form."""
         pieces = (m.group() for m in self.find.finditer(text)) if len(text) > 1 << 20 else iter(self.find.findall(text))
-        known = self._pieces
         while block := list(islice(pieces, PIECES_AT_ONCE)):
+            known = self._pieces
             yield [known.get(p) or self._piece(p) for p in block]
 
     def ids(self, text: str) -> list[int]:
