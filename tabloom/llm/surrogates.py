@@ -369,7 +369,8 @@ def shared_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pairs
 
     rows = docs.select(text_of(f"`{text_col}`").alias("_text"))
-    found = per_text(rows, make, "pairs array<string>").select(F.split(F.explode("pairs"), "\t").alias("p")).distinct()
+    found = per_text(rows, make, "pairs array<string>").select(F.explode("pairs").alias("pair")).distinct()
+    found = found.select(F.split("pair", "\t").alias("p"))
     return found.groupBy(F.col("p")[0].alias("kind"), F.col("p")[2].alias("surrogate")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
