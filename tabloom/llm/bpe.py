@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import as_rows, per_text, text_of
 
-MAX_STATES = 250_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_PIECES = 160_000
 MAX_CACHED_CHARS = 64
 PIECES_AT_ONCE = 8_192
 NO_TOKEN, ANY = -1, -2
