@@ -12,10 +12,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.text import strip
 
-# Repair attempts, how far back a comma is looked for, and the
-# length of the preview kept with a failure.
-REPAIR_ATTEMPTS = 5
-COMMA_WINDOW = 200
+# Characters of a broken text shown by default; the whole text stays in its column.
 PREVIEW_CHARS = 200
 
 STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
@@ -51,7 +48,9 @@ def is_one_json_object(c: Column) -> Column:
     return F.coalesce(single, F.lit(False))
 
 
-def parse_payload(df: DataFrame, col: str, schema: T.StructType | str, into: str = "parsed") -> DataFrame:
+def parse_payload(
+    df: DataFrame, col: str, schema: T.StructType | str, into: str = "parsed", preview: int = PREVIEW_CHARS
+) -> DataFrame:
     """Typed parse of a payload column.
 
     Adds ``into`` (null when broken), ``ok``, and ``preview`` (start of the
@@ -62,47 +61,60 @@ def parse_payload(df: DataFrame, col: str, schema: T.StructType | str, into: str
         {
             into: F.when(ok, F.from_json(F.col(col), schema, STRICT_JSON)),
             "ok": ok,
-            "preview": F.when(~ok, F.substr(F.col(col), F.lit(1), F.lit(PREVIEW_CHARS))),
+            "preview": F.when(~ok, F.substr(F.col(col), F.lit(1), F.lit(preview))),
         }
     )
 
 
-_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"?', re.DOTALL)
-_OUTSIDE = re.compile(r"[\[\]{}]")
-_CLOSER = {"[": "]", "{": "}"}
+# What the scan stops at: a whole or unfinished string, a bracket, a comma, a colon.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[\[\]{},:]', re.DOTALL)
+_ENDS = {"[": "]", "{": "}"}
 
 
-def _mask_strings(text: str) -> str:
-    """Blank out string literals, keeping every position."""
-    return _LITERAL.sub(lambda m: "_" * len(m.group()), text)
-
+def repair_text(text: str) -> str:
+    """Close arrays left open before a key, then whatever is open at the end.
 
-def _close_open_scopes(text: str) -> str:
-    pending: list[str] = []
-    for mark in _OUTSIDE.findall(_mask_strings(text)):
-        if mark in _CLOSER:
-            pending.append(_CLOSER[mark])
-        elif pending and pending[-1] == mark:
-            del pending[-1]
-    if not pending:
+    One scan from left to right over any number of scopes. Each open scope knows its last
+    comma. A colon inside an array shows that the string before it is a key of the enclosing
+    object, so the array ended before that comma. Text that is valid, or that has nothing to
+    close, is given back as it is.
+    """
+    try:
+        json.loads(text)
         return text
-    return text.rstrip().removesuffix(",") + "".join(pending[::-1])
-
-
-def repair_text(text: str) -> str:
-    """Close arrays left open before a key, then whatever is open at the end."""
-    for _ in range(REPAIR_ATTEMPTS):
-        try:
-            json.loads(text)
-            return text
-        except json.JSONDecodeError as error:
-            comma = text.rfind(",", max(0, error.pos - COMMA_WINDOW), error.pos)
-        before = text[:comma] if comma >= 0 else ""
-        outside = _mask_strings(before)
-        if outside.count("[") <= outside.count("]"):
-            return _close_open_scopes(text)
-        text = f"{before}], {text[comma + 1:].lstrip()}"
-    return text
+    except ValueError:
+        pass
+    out: list[str] = []
+    scopes: list[list] = []
+    at, after_string = 0, False
+    for token in _TOKEN.finditer(text):
+        mark = token.group()
+        out.append(text[at:token.start()])
+        at = token.end()
+        if mark in _ENDS:
+            scopes.append([mark, None])
+        elif mark in "]}":
+            if scopes and _ENDS[scopes[-1][0]] == mark:
+                scopes.pop()
+        elif mark == ",":
+            if scopes:
+                scopes[-1][1] = len(out)
+        elif mark == ":" and after_string:
+            while scopes and scopes[-1][0] == "[" and any(s[0] == "{" for s in scopes):
+                comma = scopes[-1][1]
+                if comma is None:
+                    break
+                # The comma moves behind the bracket and now belongs to the scope outside.
+                scopes.pop()
+                out[comma] = "],"
+                scopes[-1][1] = comma
+                break
+        after_string = mark[0] == '"'
+        out.append(mark)
+    out.append(text[at:])
+    if not scopes:
+        return "".join(out)
+    return "".join(out).rstrip().removesuffix(",") + "".join(_ENDS[s[0]] for s in reversed(scopes))
 
 
 @F.pandas_udf(T.StringType())

@@ -25,12 +25,12 @@ YES_NO = LabelMap({0: "No", 1: "Yes"}).labels
         (YES_NO, "Yes", "Yes"),
         (YES_NO, "yes", "Yes"),
         (YES_NO, "NO", "No"),
-        (YES_NO, "Yes, I think so", "Yes"),
-        (["No Response", "Response"], "The answer is Response.", "Response"),
-        (["Response", "No Response"], "The answer is No Response", "Response"),
-        (["Response", "No Response"], "no response at all", "No Response"),
-        (YES_NO, "Not sure", "No"),
-        ([], "SomeLabel", "SomeLabel"),
+        (YES_NO, "Yes - that much is sure", "Yes"),
+        (["No Response", "Response"], "It looks like Response to me", "Response"),
+        (["Response", "No Response"], "Clearly No Response here", "Response"),
+        (["Response", "No Response"], "no response, none", "No Response"),
+        (YES_NO, "Nothing known", "No"),
+        ([], "free words", "free words"),
         (["A"], "", None),
         (["A"], "   ", None),
         (["A"], None, None),
@@ -62,11 +62,11 @@ def overrides(spark, text):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("lora_rank: 32", {"lora_rank": "32"}),
-        ("lora_rank: 32, num_train_epochs: 5", {"lora_rank": "32", "num_train_epochs": "5"}),
-        ("lora_rank: 32\nlearning_rate: 1.0e-5", {"lora_rank": "32", "learning_rate": "1.0e-5"}),
+        ("depth: 9", {"depth": "9"}),
+        ("depth: 9, rounds: 4", {"depth": "9", "rounds": "4"}),
+        ("depth: 9\nstep: 2.5e-3", {"depth": "9", "step": "2.5e-3"}),
         ("", {}),
-        ("just some text without overrides", {}),
+        ("a remark that sets nothing", {}),
         ("a: 1, a: 2, b:", {"a": "2"}),
         ("url: http://x", {"url": "http://x"}),
     ],
@@ -78,14 +78,14 @@ def test_overrides(spark, text, expected):
 @pytest.mark.parametrize(
     "text, kind, column, value",
     [
-        ("42", "int", "int_value", 42),
+        ("17", "int", "int_value", 17),
         ("-7", "int", "int_value", -7),
-        ("3.14", "float", "float_value", 3.14),
-        ("2.0e-5", "float", "float_value", 2.0e-5),
+        ("0.25", "float", "float_value", 0.25),
+        ("7.5e-4", "float", "float_value", 7.5e-4),
         ("true", "bool", "bool_value", True),
         ("True", "bool", "bool_value", True),
         ("false", "bool", "bool_value", False),
-        ("cosine", "string", "value", "cosine"),
+        ("linear", "string", "value", "linear"),
         ("12a", "string", "value", "12a"),
         ("1e", "string", "value", "1e"),
     ],
@@ -96,12 +96,14 @@ def test_typed_values(spark, text, kind, column, value):
 
 
 BROKEN = [
-    '{"a": ["x", "reasoning": "ok"}',
-    '{"selected_features": ["f1", "f2"], "data_cleaning_steps": ["step one; step two", "reasoning": "everything is fine"}',
-    '{"a": {"nested": 1}',
-    '{"a": [1, 2,',
-    '{"a": "open [ string", "b": [1',
-    '{"a": ["q \\" [", "b": 1}',
+    '{"list": ["p", "note": "fine"}',
+    '{"steps": ["wash", "dry; fold", "why": "because"}',
+    '{"outer": {"inner": 5}',
+    '{"n": [4, 5,',
+    '{"s": "open [ here", "t": [6',
+    '{"q": ["r \\" [", "z": 7}',
+    *['{' + ", ".join(f'"k{i}": ["v{i}"' for i in range(n)) + ', "last": 1}' for n in range(2, 9)],
+    '{"list": ["p", "' + "long" * 100 + '": 1}',
 ]
 
 
@@ -110,14 +112,15 @@ def test_repair_makes_valid(text):
     assert isinstance(json.loads(repair_text(text)), dict)
 
 
-@pytest.mark.parametrize("text", ['{"a": 1, "b": [1, 2, 3]}', '{"msg": "use [these] brackets {here}"}'])
+@pytest.mark.parametrize("text", ['{"m": 3, "n": [7, 8]}', '{"say": "mind [the] {gap}"}'])
 def test_repair_leaves_valid_text(text):
     assert repair_text(text) == text
 
 
 def test_repair_values():
-    assert json.loads(repair_text('{"a": [1, 2,')) == {"a": [1, 2]}
-    assert json.loads(repair_text('{"a": {"nested": 1}'))["a"]["nested"] == 1
+    assert json.loads(repair_text('{"n": [4, 5,')) == {"n": [4, 5]}
+    assert json.loads(repair_text('{"outer": {"inner": 5}'))["outer"]["inner"] == 5
+    assert json.loads(repair_text(BROKEN[8])) == {"k0": ["v0"], "k1": ["v1"], "k2": ["v2"], "k3": ["v3"], "last": 1}
     assert repair_text("no json") == "no json"
 
 
@@ -125,9 +128,9 @@ def test_repair_job_touches_broken_rows_only(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*BROKEN, '{"ok": 1}', None, "x"])], "i int, t string")
     found = {r["i"]: r for r in repair_json(rows, "t").collect()}
     assert all(not found[i]["was_valid"] and found[i]["is_valid"] for i in range(len(BROKEN)))
-    assert found[6]["was_valid"] and found[6]["repaired"] == '{"ok": 1}'
-    assert found[7]["repaired"] is None and not found[7]["is_valid"]
-    assert found[8]["repaired"] == "x" and not found[8]["is_valid"]
+    assert found[len(BROKEN)]["was_valid"] and found[len(BROKEN)]["repaired"] == '{"ok": 1}'
+    assert found[len(BROKEN) + 1]["repaired"] is None and not found[len(BROKEN) + 1]["is_valid"]
+    assert found[len(BROKEN) + 2]["repaired"] == "x" and not found[len(BROKEN) + 2]["is_valid"]
 
 
 def test_payload(spark):
