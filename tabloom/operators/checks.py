@@ -70,9 +70,9 @@ def check_labels(examples: DataFrame, mapping: LabelMap, key: Sequence[str]) ->
     """The output is one label of the mapping."""
     if len(mapping.labels) <= IN_SET_LIMIT:
         return _report(examples, {"known_label": _label_rule(mapping.labels)}, key)
-    # The labels are driver configuration, so the broadcast side has a known size.
+    # A local relation of known size: the optimizer broadcasts it below its limit only.
     known = mapping.as_table(examples.sparkSession).select(F.col("label").alias("output")).distinct()
-    marked = examples.join(F.broadcast(known.withColumn("_known", F.lit(True))), "output", "left")
+    marked = examples.join(known.withColumn("_known", F.lit(True)), "output", "left")
     return _report(marked, {"known_label": F.col("_known").isNotNull()}, key)
 
 

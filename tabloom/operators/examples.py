@@ -31,22 +31,24 @@ def map_target(
     """Adds the label of the raw target value.
 
     Without a mapping the raw text is the label. Whole numbers held as fractions
-    (an integer column that had gaps) are looked up without the ``.0`` too.
+    (an integer column that had gaps) match keys with and without the ``.0``,
+    whatever the length of the mapping.
     """
     raw = F.col(f"`{target}`").cast("string")
     present = drop_missing_target(df, target)
     if not len(mapping):
         return present.withColumn(into, raw)
-    spellings = [raw]
+    key = raw
     if _fractional(df.schema[target].dataType):
-        whole = F.col(f"`{target}`").try_cast("bigint").cast("string")
-        spellings.append(F.when(F.col(f"`{target}`") == F.floor(f"`{target}`"), whole))
+        value = F.col(f"`{target}`")
+        key = F.coalesce(F.when(value == F.floor(value), value.try_cast("bigint").cast("string")), raw)
+        mapping = mapping.for_fractions()
     if len(mapping) <= LITERAL_MAP_LIMIT:
-        labelled = present.withColumn(into, F.coalesce(*[mapping.lookup(s) for s in spellings]))
+        labelled = present.withColumn(into, mapping.lookup(key))
     else:
-        # The mapping is configuration held by the driver, so its size is known.
-        table = mapping.as_table(df.sparkSession).select("raw", F.col("label").alias(into))
-        labelled = present.join(F.broadcast(table), F.coalesce(*spellings) == F.col("raw"), "left").drop("raw")
+        # A local relation of known size: the optimizer broadcasts it below its limit only.
+        table = mapping.as_table(df.sparkSession).select(F.col("raw").alias("_raw"), F.col("label").alias(into))
+        labelled = present.join(table, key == F.col("_raw"), "left").drop("_raw")
     if unmapped == "drop":
         return labelled.filter(F.col(into).isNotNull())
     if unmapped == "keep":
@@ -99,11 +101,10 @@ def input_text(df: DataFrame, spec: PrepSpec) -> Column:
 def build_examples(df: DataFrame, spec: PrepSpec, keep: Sequence[str] | None = None) -> DataFrame:
     """``(*keep, instruction, input, output)``, one example per row with a target.
 
-    ``keep`` (default ``spec.keep``) are key columns carried along. A separate test
-    table takes the same spec, with the medians fitted on the training table.
+    ``keep`` (default ``spec.keep``) are key columns carried along. Medians are never
+    fitted here: a "median" feature needs ``fit_medians`` on the training rows, and a
+    separate test table takes the same fitted spec.
     """
-    if not spec.medians and not df.isStreaming:
-        spec = fit_medians(df, spec)
     carried = spec.keep if keep is None else keep
     labelled = map_target(df, spec.target, spec.mapping, spec.unmapped, "_output")
     return labelled.select(

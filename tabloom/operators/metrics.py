@@ -21,9 +21,6 @@ UNPARSED = "UNPARSED"
 NO_LABELS = "No valid labels found in predictions"
 NO_PREDICTIONS = "No valid predictions to evaluate"
 
-# Dense matrices are written up to this many labels; beyond, zero cells stay implied.
-DENSE_LABELS = 1000
-
 
 def _read_labels(predictions: DataFrame, mapping: LabelMap) -> DataFrame:
     labels = mapping.labels
@@ -178,19 +175,20 @@ def binary_f1(scores: DataFrame, binary_f1_on: str = "universe") -> DataFrame:
     )
 
 
-def confusion_matrix(counts: DataFrame, universe: DataFrame) -> DataFrame:
+def confusion_matrix(counts: DataFrame, universe: DataFrame, dense: bool = True) -> DataFrame:
     """``(split, truth, pred, n)`` over the universe, zero cells included.
 
-    A universe of more than 1,000 labels is given without its zero cells.
+    The caller decides about the zero cells, the number of labels never does: the
+    dense form has labels x labels rows per split, ``dense=False`` only the cells that
+    occur, for universes inferred from free text.
     """
     cells = counts.filter(_valid()).select("split", "truth", "pred", "n")
-    table, small = settle(universe, SMALL_ROWS)
-    per_split = table.groupBy("split").agg(F.count("*").alias("k"))
-    if not small or (per_split.agg(F.max("k")).first()[0] or 0) > DENSE_LABELS:
+    if not dense:
         return cells
+    table, _ = settle(universe, SMALL_ROWS)
     columns = table.groupBy("split").agg(F.collect_list("label").alias("_preds"))
     grid = (
-        table.join(F.broadcast(columns), "split")
+        table.join(columns, "split")
         .select("split", F.col("label").alias("truth"), F.explode("_preds").alias("pred"))
     )
     return grid.join(cells, ["split", "truth", "pred"], "left").fillna(0, ["n"])
@@ -235,6 +233,7 @@ def evaluate(
     mapping: LabelMap,
     splits: Sequence[str] | None = None,
     binary_f1_on: str = "universe",
+    dense: bool = True,
 ) -> dict[str, DataFrame]:
     """All metric tables of all splits from one pass over the predictions.
 
@@ -269,6 +268,6 @@ def evaluate(
     return {
         "summary": summary,
         "labels": universe,
-        "confusion": confusion_matrix(counts, universe.join(usable, "split", "left_semi")),
+        "confusion": confusion_matrix(counts, universe.join(usable, "split", "left_semi"), dense),
         "report": classification_report(scores),
     }

@@ -15,9 +15,6 @@ from tabloom.operators.quantiles import quantiles
 from tabloom.session import local_table, settle
 
 # Limits of the profile.
-MAX_COLUMNS = 60
-MAX_NUMERIC = 20
-MAX_CATEGORICAL = 10
 TOP_VALUES = 10
 HEAD_ROWS = 5
 TEXT_DISTINCT_LIMIT = 20
@@ -119,10 +116,10 @@ def profile_from_values(df: DataFrame, values: DataFrame, names: Sequence[str])
     )
 
 
-def column_profile(df: DataFrame, max_cols: int | None = MAX_COLUMNS, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, max_cols: int | None = None, approximate: bool = False) -> DataFrame:
     """Type, distinct non-missing values and missing values per column.
 
-    The first ``max_cols`` columns; ``n_more`` tells how many follow. The
+    All columns, or the first ``max_cols``; ``n_more`` tells how many follow. The
     approximate form needs no expand and no shuffle of values.
     """
     names = df.columns[:max_cols]
@@ -154,10 +151,10 @@ def numeric_columns(df: DataFrame, max_cols: int | None = None) -> list[str]:
     return [f.name for f in df.schema if is_numeric(f.dataType)][:max_cols]
 
 
-def numeric_summary(df: DataFrame, max_cols: int = MAX_NUMERIC, digits: int = 4) -> DataFrame:
+def numeric_summary(df: DataFrame, max_cols: int | None = None, digits: int = 4) -> DataFrame:
     """Count, mean, sample standard deviation, minimum, quartiles and maximum.
 
-    One row per numeric column (at most ``max_cols``); moments in one pass,
+    One row per numeric column (all, or the first ``max_cols``); moments in one pass,
     quartiles exact by interpolation.
     """
     names = numeric_columns(df, max_cols)
@@ -224,26 +221,40 @@ def top_values(values: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     return values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
+def value_counts(
+    df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES, max_cols: int | None = None
+) -> DataFrame:
     """Top values per column, the missing bucket included.
 
-    Without ``columns``: the first ten low-cardinality columns.
+    Without ``columns``: all low-cardinality columns, or the first ``max_cols``.
     """
     if columns is None:
         found = categorical_columns(df).collect()
-        columns = [r["column"] for r in sorted(found, key=lambda r: r["position"])][:MAX_CATEGORICAL]
+        columns = [r["column"] for r in sorted(found, key=lambda r: r["position"])][:max_cols]
     if not columns:
         return local_table(df.sparkSession, [], "column string, value string, n long, rank int")
     return top_values(value_table(df, columns), k)
 
 
-def head_sample(df: DataFrame, order_by: Sequence[str], n: int = HEAD_ROWS, max_cols: int = MAX_COLUMNS) -> DataFrame:
-    """First rows in key order, at most ``max_cols`` columns (top-k, no full sort)."""
+def head_sample(
+    df: DataFrame, order_by: Sequence[str], n: int = HEAD_ROWS, max_cols: int | None = None
+) -> DataFrame:
+    """First rows in key order, all or the first ``max_cols`` columns (top-k, no full sort)."""
     return df.orderBy(*order_by).limit(n).select(*[f"`{c}`" for c in df.columns[:max_cols]])
 
 
-def profile(df: DataFrame, order_by: Sequence[str], approximate: bool = False) -> dict[str, DataFrame]:
-    """All profile tables.
+def profile(
+    df: DataFrame,
+    order_by: Sequence[str],
+    approximate: bool = False,
+    max_cols: int | None = None,
+    max_numeric: int | None = None,
+    max_categorical: int | None = None,
+) -> dict[str, DataFrame]:
+    """All profile tables, over all columns unless a limit is given.
+
+    ``max_cols`` limits the column table and the head, ``max_numeric`` the numeric
+    summary, ``max_categorical`` the value counts.
 
     The column table is settled, since the categorical rule and the choice of value
     counts read it; value counts then touch low-cardinality columns only. The
@@ -252,17 +263,16 @@ def profile(df: DataFrame, order_by: Sequence[str], approximate: bool = False) -
     exact = column_profile(df, None, approximate).drop("n_more")
     described, _ = settle(exact)
     categorical = categorical_columns(df) if approximate else described.filter(is_categorical())
-    chosen = sorted(categorical.collect(), key=lambda r: r["position"])[:MAX_CATEGORICAL]
-    shown = described.filter(F.col("position") < MAX_COLUMNS).withColumn(
-        "n_more", F.lit(max(0, len(df.columns) - MAX_COLUMNS))
-    )
+    chosen = sorted(categorical.collect(), key=lambda r: r["position"])[:max_categorical]
+    names = df.columns[:max_cols]
+    shown = described.filter(F.col("position") < len(names)).withColumn("n_more", F.lit(len(df.columns) - len(names)))
     return {
         "shape": table_shape(df),
         "columns": shown,
-        "numeric": numeric_summary(df),
+        "numeric": numeric_summary(df, max_numeric),
         "categorical": categorical,
         "value_counts": value_counts(df, [r["column"] for r in chosen]),
-        "head": head_sample(df, order_by),
+        "head": head_sample(df, order_by, max_cols=max_cols),
     }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators.balance import balance
-from tabloom.operators.examples import build_examples, fit_medians
+from tabloom.operators.examples import build_examples, fit_medians, map_target
 from tabloom.operators.features import Selection, select_features
 from tabloom.operators.split import DEFAULT_RATIO, TEST, TRAIN, assign_split, split
 from tabloom.sources.stages import read_stage, write_stage
@@ -41,8 +41,13 @@ def prepare(
 ) -> dict[str, DataFrame]:
     """Examples, split and balanced training side, each written as a stage table.
 
-    With a separate test table nothing is split. ``start`` names a saved stage of
-    this run to go on from. Only training rows are balanced, after the split.
+    With a separate test table nothing is split; a run made that way stays so when it
+    is started again, since the saved examples tell. ``start`` names a saved stage of
+    this run to go on from; that stage and those before it are read, the later ones
+    are made again. Only training rows are balanced, after the split.
+
+    Medians the spec does not bring are fitted on training rows: the table, or without
+    a test table those of its rows that this ratio, seed and task put on the training side.
     """
     spark: SparkSession = table.sparkSession
     done: dict[str, DataFrame] = {}
@@ -52,7 +57,12 @@ def prepare(
         if choose_features:
             found = select_features(table, spec.target, task, key=key, exclude=key)
             spec = apply_selection(spec, found)
-        spec = fit_medians(table, spec)
+        if not spec.medians and any(spec.policy(f) == "median" for f in spec.features):
+            fitted_on = table
+            if test_table is None:
+                labelled = map_target(table, spec.target, spec.mapping, spec.unmapped, "_label")
+                fitted_on = split(labelled, key, "_label", ratio, seed, task).filter(F.col("split") == TRAIN)
+            spec = fit_medians(fitted_on, spec)
         examples = build_examples(table, spec).withColumn("set", F.lit("all"))
         if test_table is not None:
             examples = examples.unionByName(build_examples(test_table, spec).withColumn("set", F.lit(TEST)))
@@ -64,7 +74,7 @@ def prepare(
 
     if start in ("table", "examples"):
         rows = done["examples"]
-        if test_table is not None:
+        if not rows.filter(F.col("set") == TEST).isEmpty():
             main, other = rows.filter(F.col("set") != TEST), rows.filter(F.col("set") == TEST)
             marked = assign_split(main.drop("set"), other.drop("set"))
         else:
@@ -73,6 +83,9 @@ def prepare(
     else:
         done["split"] = read_stage(spark, root, run_id, "split")
 
+    if start == "balanced":
+        done["balanced"] = read_stage(spark, root, run_id, "balanced")
+        return done
     train = done["split"].filter(F.col("split") == TRAIN).drop("split")
     done["balanced"] = write_stage(balance(train, strategy, "output", key, seed), root, run_id, "balanced")
     return done

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.payload import STRICT_JSON, is_one_json_object
 from tabloom.spec import EXAMPLE_SCHEMA
 
 FILE_FORMATS = ("json", "parquet")
@@ -42,17 +43,32 @@ def write_examples(
     writer.save(path)
 
 
-def read_predictions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+def read_predictions(
+    spark: SparkSession, path: str, split: str | None = None, damaged: str = "fail"
+) -> DataFrame:
     """Prediction lines as ``(label, predict)``, with ``split`` when given.
 
     Blank lines are skipped; an empty file gives no rows. A missing field is read
-    from its alternative name, else it is the empty text.
+    from its alternative name, else it is the empty text. A line that is not one JSON
+    object fails the job; with ``damaged="report"`` it is kept as a row of empty texts,
+    told apart by a further boolean column ``damaged``.
     """
-    fields = [*PREDICT_FIELDS, *LABEL_FIELDS]
-    raw = spark.read.schema(", ".join(f"{f} string" for f in fields)).json(path)
+    if damaged not in ("fail", "report"):
+        raise ValueError(f"damaged must be fail or report, not {damaged!r}")
+    fields = ", ".join(f"{f} string" for f in (*PREDICT_FIELDS, *LABEL_FIELDS))
+    lines = spark.read.text(path).filter(F.trim(F.translate("value", "\t\r", "  ")) != "")
+    broken = ~is_one_json_object(F.col("value"))
+    if damaged == "fail":
+        error = F.raise_error(F.concat(F.lit("damaged prediction line: "), F.substring("value", 1, 200)))
+        # A filter, so that the check also runs where no column is read.
+        lines = lines.filter(F.when(broken, error.cast("boolean")).otherwise(True))
+    record = F.from_json("value", fields, STRICT_JSON)
 
     def first_of(names):
-        return F.coalesce(*[F.col(n) for n in names], F.lit(""))
+        return F.coalesce(*[F.when(~F.col("damaged"), F.col("record")[n]) for n in names], F.lit(""))
 
-    rows = raw.select(first_of(LABEL_FIELDS).alias("label"), first_of(PREDICT_FIELDS).alias("predict"))
-    return rows if split is None else rows.select(F.lit(split).alias("split"), "label", "predict")
+    rows = lines.select(broken.alias("damaged"), record.alias("record")).select(
+        *([] if split is None else [F.lit(split).alias("split")]),
+        first_of(LABEL_FIELDS).alias("label"), first_of(PREDICT_FIELDS).alias("predict"), "damaged",
+    )
+    return rows if damaged == "report" else rows.drop("damaged")

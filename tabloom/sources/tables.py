@@ -26,9 +26,9 @@ INFER_CHUNK = 200
 CORRUPT = "_corrupt_record"
 
 
-def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell as text. Quoted cells may contain line breaks."""
-    return spark.read.options(header=True, inferSchema=False, multiLine=False, escape='"', mode="PERMISSIVE").csv(path)
+def _csv_text(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Every cell as text."""
+    return spark.read.options(header=True, inferSchema=False, multiLine=multi_line, escape='"', mode="PERMISSIVE").csv(path)
 
 
 def _text(value: str) -> str:
@@ -76,13 +76,17 @@ def infer_types(text: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> dict[s
     return types
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKENS, multi_line: bool = True
+) -> DataFrame:
     """CSV with header: missing tokens to null, types inferred over the whole file.
 
-    Inference reads the file once; write a Parquet stage before further work on a
-    large file.
+    Quoted cells may contain line breaks, so a file is read by one task; many files
+    are read side by side. ``multi_line=False`` cuts files anywhere and is for tables
+    known to hold no such breaks. Inference reads the file once; write a Parquet stage
+    before further work on a large file.
     """
-    text = _csv_text(spark, path)
+    text = _csv_text(spark, path, multi_line)
     types = infer_types(text, na_tokens)
     return text.selectExpr(
         *[f"try_cast({_present(n, na_tokens)} AS {types[n]}) AS {quoted(n)}" for n in text.columns]
@@ -90,11 +94,11 @@ def read_csv(spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKEN
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "csv", na_tokens: Sequence[str] = NA_TOKENS
+    spark: SparkSession, path: str, fmt: str = "csv", na_tokens: Sequence[str] = NA_TOKENS, multi_line: bool = True
 ) -> DataFrame:
     """A labelled table; NaN counts as missing."""
     if fmt == "csv":
-        return read_csv(spark, path, na_tokens)
+        return read_csv(spark, path, na_tokens, multi_line)
     df = spark.read.format(fmt).load(path)
     floats = [f for f in df.schema if f.dataType.simpleString() in ("double", "float")]
     return df.withColumns(
@@ -111,11 +115,12 @@ def schema_alignment(train: DataFrame, test: DataFrame) -> DataFrame:
     return local_table(train.sparkSession, rows, "column string, side string")
 
 
-def scan_health(spark: SparkSession, path: str) -> DataFrame:
+def scan_health(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row ``(path, ok, n_columns, n_rows, n_corrupt, message)``; never raises
     for an unreadable input.
 
-    A record is corrupt when it has more or fewer cells than the header.
+    A record is corrupt when it has more or fewer cells than the header. Line breaks
+    inside quotes belong to their cell unless ``multi_line=False``.
     """
 
     def verdict(ok, columns=0, rows=0, corrupt=0, message=""):
@@ -126,7 +131,7 @@ def scan_health(spark: SparkSession, path: str) -> DataFrame:
         )
 
     try:
-        text = _csv_text(spark, path)
+        text = _csv_text(spark, path, multi_line)
         names = text.columns
     except AnalysisException as error:
         return verdict(False, message=f"ERROR: cannot read: {error.getCondition() or str(error)[:200]}")
@@ -135,7 +140,7 @@ def scan_health(spark: SparkSession, path: str) -> DataFrame:
     if any(not ch.isprintable() or ch == "�" for n in names for ch in n):
         return verdict(False, len(names), message="ERROR: header holds control characters, not a text table")
     checked = spark.read.options(
-        header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+        header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     ).schema(", ".join(f"`{n}` string" for n in names) + f", {CORRUPT} string").csv(path)
     # Every column is referenced: a pruned CSV scan would not notice missing cells.
     longest = F.max(F.length(F.concat_ws(",", *[f"`{n}`" for n in names])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -19,6 +20,9 @@ EXAMPLE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXAMPLE
 # keeps the projection narrow; longer ones become a small joined table.
 LITERAL_MAP_LIMIT = 256
 
+# Fixed value: a number written with a point or an exponent.
+_FRACTION = re.compile(r"[+-]?\d+(\.\d*([eE][+-]?\d+)?|[eE][+-]?\d+)")
+
 
 class LabelMap:
     """Ordered raw value -> label mapping.
@@ -46,6 +50,20 @@ class LabelMap:
     def labels(self) -> list[str]:
         return list(dict.fromkeys(self._pairs.values()))
 
+    def for_fractions(self) -> "LabelMap":
+        """The mapping for a fractional target: whole numbers keyed without their point.
+
+        ``1``, ``1.0`` and ``1e0`` are one number. If several are keyed, the one
+        spelled as a fraction wins, as the target itself is spelled that way.
+        """
+        whole, rest = {}, {}
+        for raw, label in self._pairs.items():
+            if _FRACTION.fullmatch(raw) and float(raw).is_integer():
+                whole.setdefault(str(int(float(raw))), label)
+            else:
+                rest[raw] = label
+        return LabelMap({**rest, **whole})
+
     def as_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, raw, label) for i, (raw, label) in enumerate(self.pairs)]
         return local_table(spark, rows, "pos int, raw string, label string")

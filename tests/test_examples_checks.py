@@ -34,7 +34,7 @@ def test_examples(people):
 
 
 def test_missing_policies(people):
-    policies = spec(missing={"age": "median", "sex": "literal"}, unmapped="keep")
+    policies = E.fit_medians(people, spec(missing={"age": "median", "sex": "literal"}, unmapped="keep"))
     assert texts(E.build_examples(people, policies)) == {
         1: ("age: 30.0, sex: m", "Yes"), 2: ("age: 41.3, sex: f", "No"), 3: ("age: 41.3, sex: unknown", "Yes"),
         5: ("age: 2500000000.0, sex: f", "2.0"),
@@ -47,6 +47,8 @@ def test_test_table_uses_training_medians(people, spark):
     assert texts(E.build_examples(other, fitted))[9][0] == "age: 41.3, sex: m"
     with pytest.raises(ValueError):
         E.input_text(other, spec(missing={"age": "median"}))
+    with pytest.raises(ValueError):
+        E.build_examples(other, spec(missing={"age": "median"}))
 
 
 def test_unmapped_targets_can_fail(people):
@@ -66,6 +68,17 @@ def test_long_mappings_are_joined(spark):
     assert out.filter("label <> concat('c', k % 9)").isEmpty()
 
 
+@pytest.mark.parametrize("more", [0, LITERAL_MAP_LIMIT])
+def test_fractional_targets_do_not_depend_on_the_length(spark, more):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.5), (4, 7.0)], "k int, y double")
+    pairs = [("0", "zero"), ("1", "whole"), ("1.0", "fraction"), ("2.5", "half")]
+    mapping = LabelMap([*pairs, *((10_000 + i, "other") for i in range(more))])
+    found = {r["k"]: r["label"] for r in E.map_target(df, "y", mapping).collect()}
+    assert found == {1: "zero", 2: "fraction", 3: "half"}
+    kept = {r["k"]: r["label"] for r in E.map_target(df, "y", mapping, "keep").collect()}
+    assert kept == {**found, 4: "7.0"}
+
+
 def test_label_map():
     mapping = LabelMap([("a", "X"), ("b", "Y"), ("c", "X")])
     assert mapping.labels == ["X", "Y"] and len(mapping) == 3

@@ -101,7 +101,9 @@ def test_wide_matrix(spark, rows):
     assert wide.columns == ["split", "truth", "Yes", "No", "UNPARSED"] and wide.count() == 3
 
 
-def test_many_labels_leave_zero_cells_out(spark, monkeypatch):
-    monkeypatch.setattr(M, "DENSE_LABELS", 3)
-    df = spark.createDataFrame([("s", f"l{i}", f"l{i}") for i in range(6)], "split string, label string, predict string")
-    assert M.evaluate(df, LabelMap())["confusion"].count() == 6
+@pytest.mark.parametrize("labels", [6, 40])
+def test_zero_cells_are_the_callers_choice(spark, labels):
+    df = spark.createDataFrame([("s", f"l{i}", f"l{i}") for i in range(labels)], "split string, label string, predict string")
+    assert M.evaluate(df, LabelMap(), dense=False)["confusion"].count() == labels
+    k = M.evaluate(df, LabelMap())["labels"].count()
+    assert M.evaluate(df, LabelMap())["confusion"].count() == k * k

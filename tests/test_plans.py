@@ -1,5 +1,7 @@
 """Shape of the plans: what must not happen at scale."""
 
+from statistics import median
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tabloom.operators import split as S
 from tabloom.operators.examples import build_examples
 from tabloom.plans.dataset import prepare
 from tabloom.plans.evaluation import score_files
+from tabloom.spec import PrepSpec
 from tabloom.streaming.live import append_to, stream_examples, stream_labels
 from workload.inputs import ORDER_SPEC, STATUS, predictions
 
@@ -95,6 +98,27 @@ def test_main_path_with_a_test_table(spark, orders, tmp_path):
     assert done["split"].filter("split = 'test'").count() == test.count()
 
 
+def test_a_started_again_run_keeps_its_test_rows(spark, orders, tmp_path):
+    train, test = orders.filter("o_orderkey % 4 <> 0"), orders.filter("o_orderkey % 4 = 0")
+    run = (ORDER_SPEC, ["o_orderkey"], str(tmp_path), "r1")
+    first = prepare(train, *run, test_table=test, strategy="undersample")
+    n = first["balanced"].count()
+    for start in ("examples", "split", "balanced"):
+        again = prepare(train, *run, start=start, strategy="none" if start == "balanced" else "undersample")
+        assert again["split"].filter("split = 'train' AND o_orderkey % 4 = 0").isEmpty(), start
+        assert again["split"].count() == orders.count() and again["balanced"].count() == n, start
+
+
+def test_medians_come_from_training_rows(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], float(i * i) if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, y string, v double")
+    spec = PrepSpec(target="y", features=("v",), instruction="Say.", missing={"v": "median"}, decimals=None)
+    done = prepare(df, spec, ["k"], str(tmp_path), "r1")["split"].collect()
+    train = {r["k"] for r in done if r["split"] == "train"}
+    want = median(v for k, _, v in rows if v is not None and k in train)
+    assert {r["input"] for r in done if r["k"] % 3 == 0} == {f"v: {want}"}
+
+
 def test_score_files(spark, small, tmp_path):
     predictions(spark, small).select("label", "predict").write.json(str(tmp_path / "p"))
     found = score_files(spark, {"test": str(tmp_path / "p")}, STATUS, str(tmp_path / "out"))
@@ -102,6 +126,9 @@ def test_score_files(spark, small, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "confusion")).count() == 16
     with pytest.raises(ValueError):
         score_files(spark, {}, STATUS)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(str(tmp_path / "p"))
+    row = score_files(spark, {"test": str(tmp_path / "p")}, STATUS, damaged="report")["summary"].first()
+    assert row["n_damaged"] == 1 and row["total"] == found["summary"].first()["total"]
 
 
 def test_streams_go_through_the_same_functions(spark, orders, tmp_path):

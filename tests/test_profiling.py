@@ -74,11 +74,14 @@ def test_profile_counts(numbers):
     assert rows["a"]["n_unique"] == 4000
 
 
-def test_wide_profile_is_cut_and_says_so(spark):
+def test_a_profile_is_cut_on_request_only(spark):
     df = spark.range(3).select(*[F.lit(i).alias(f"c{i:02d}") for i in range(65)])
     rows = P.column_profile(df).collect()
+    assert len(rows) == 65 and rows[0]["n_more"] == 0
+    rows = P.column_profile(df, 60).collect()
     assert len(rows) == 60 and rows[0]["n_more"] == 5
-    assert P.numeric_summary(df).count() == 20
+    assert P.numeric_summary(df).count() == 65 and P.numeric_summary(df, 20).count() == 20
+    assert {r["column"] for r in P.value_counts(df).collect()} == set(df.columns)
 
 
 def test_profile_tables(spark, small):

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 
 from tabloom.sources.examples import read_examples, read_predictions, write_examples
 from tabloom.sources.stages import read_stage, stage_runs, write_stage
@@ -92,6 +93,27 @@ def test_prediction_field_names(spark, tmp_path):
     assert {tuple(r) for r in read_predictions(spark, str(path), "s").collect()} == {("s", "y", "x"), ("s", "l", "p"), ("s", "", "")}
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('code,remark,ok\n11,"first\nsecond, still one cell",yes\n12,plain,no\n')
+    rows = read_table(spark, str(path)).orderBy("code").collect()
+    assert [tuple(r) for r in rows] == [(11, "first\nsecond, still one cell", "yes"), (12, "plain", "no")]
+    health = scan_health(spark, str(path)).first()
+    assert (health["n_rows"], health["n_corrupt"]) == (2, 0)
+    assert scan_health(spark, str(path), multi_line=False).first()["n_corrupt"] > 0
+
+
+def test_damaged_prediction_lines(spark, tmp_path):
+    path = tmp_path / "p.jsonl"
+    path.write_text('{"label": "A", "predict": "B"}\n{"label": "C", "pre\n[1]\n{"label": "D"} x\n\n')
+    with pytest.raises(PySparkException, match="damaged prediction line"):
+        read_predictions(spark, str(path)).count()
+    found = sorted(tuple(r) for r in read_predictions(spark, str(path), damaged="report").collect())
+    assert found == [("", "", True)] * 3 + [("A", "B", False)]
+    with pytest.raises(ValueError):
+        read_predictions(spark, str(path), damaged="skip")
+
+
 def test_stages(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(7)

@@ -40,6 +40,27 @@ def scan_csv(spark, sf):
     return read_table(spark, path)
 
 
+def _broken_lines(spark, sf):
+    """A CSV folder in which every third name runs over two lines."""
+    path = scratch_path(spark, "customer_lines")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\n"), "c_mktsegment")).otherwise(F.col("c_name"))
+    table(spark, sf, "customer").select("c_custkey", name.alias("c_name"), "c_acctbal").write.csv(path, header=True, escape='"')
+    return path
+
+
+@query(
+    "scan_csv_multiline",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || c_mktsegment ELSE c_name END AS c_name, c_acctbal FROM customer",
+)
+def scan_csv_multiline(spark, sf):
+    return read_table(spark, _broken_lines(spark, sf))
+
+
+@query("scan_health_multiline", "SELECT true AS ok, 3::INTEGER AS n_columns, count(*) AS n_rows, 0::BIGINT AS n_corrupt, 'ok' AS message FROM customer")
+def scan_health_multiline(spark, sf):
+    return scan_health(spark, _broken_lines(spark, sf)).drop("path")
+
+
 @query(
     "schema_alignment",
     """SELECT column_name AS "column", 'missing in test' AS side FROM (DESCRIBE SELECT * FROM orders)
@@ -83,7 +104,7 @@ def examples_roundtrip(spark, sf):
 
 @query(
     "predictions_read",
-    f"""SELECT split, label, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE predict END AS predict FROM ({PREDICTIONS_SQL}) p WHERE split = 'test'""",
+    f"""SELECT split, label, CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE predict END AS predict FROM ({PREDICTIONS_SQL}) p""",
 )
 def predictions_read(spark, sf):
     """Records under both field names, with fields and whole lines missing."""
@@ -93,10 +114,23 @@ def predictions_read(spark, sf):
         .when(F.col("o_orderkey") % 4 == 2, F.to_json(F.struct(F.col("label").alias("ground_truth"), F.col("predict").alias("prediction"))))
         .otherwise(F.to_json(F.struct("label", "predict")))
     )
-    test = predictions(spark, sf).filter("split = 'test'")
     padded = F.when(F.col("o_orderkey") % 3 == 0, F.concat(record, F.lit("\n\n"))).otherwise(record)
-    test.select(padded.alias("value")).write.text(path)
-    return read_predictions(spark, path, "test")
+    predictions(spark, sf).select("split", padded.alias("value")).write.partitionBy("split").text(path)
+    return read_predictions(spark, f"{path}/split=train", "train").unionByName(read_predictions(spark, f"{path}/split=test", "test"))
+
+
+@query(
+    "predictions_damaged",
+    f"""SELECT 'all' AS split, CASE WHEN o_orderkey % 10 = 9 THEN '' ELSE label END AS label,
+      CASE WHEN o_orderkey % 10 = 9 THEN '' ELSE predict END AS predict, o_orderkey % 10 = 9 AS damaged FROM ({PREDICTIONS_SQL}) p""",
+)
+def predictions_damaged(spark, sf):
+    """Every tenth line has lost its end."""
+    path = scratch_path(spark, "predictions_damaged")
+    record = F.to_json(F.struct("label", "predict"))
+    cut = F.when(F.col("o_orderkey") % 10 == 9, F.substr(record, F.lit(1), F.length(record) - 1)).otherwise(record)
+    predictions(spark, sf).select(cut.alias("value")).write.text(path)
+    return read_predictions(spark, path, "all", damaged="report")
 
 
 @query("rankings_sink", ORACLES["rankings_table"])
@@ -134,7 +168,7 @@ def score_files_query(spark, sf):
 def stage_roundtrip(spark, sf):
     root = scratch_path(spark, "stages")
     ex = build_examples(table(spark, sf, "orders"), ORDER_SPEC)
-    write_stage(ex.limit(0), root, "older", "examples")
+    write_stage(ex.filter("o_orderkey % 2 = 0"), root, "older", "examples")
     write_stage(ex, root, "run1", "examples")
     return read_stage(spark, root, "run1", "examples")
 
@@ -164,6 +198,19 @@ def prepare_balanced(spark, sf):
     return done["balanced"].select("o_orderkey", "output", "copy")
 
 
+@query(
+    "prepare_resumed_test",
+    f"SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM ({ORDER_EXAMPLES_SQL}) x",
+)
+def prepare_resumed_test(spark, sf):
+    """A run with a test table, started again without naming it: no test row may train."""
+    root = scratch_path(spark, "resumed")
+    orders = table(spark, sf, "orders")
+    train, test = orders.filter("o_orderkey % 4 <> 0"), orders.filter("o_orderkey % 4 = 0")
+    prepare(train, ORDER_SPEC, ["o_orderkey"], root, "run1", test_table=test)
+    return prepare(train, ORDER_SPEC, ["o_orderkey"], root, "run1", start="examples")["split"]
+
+
 def _stream(spark, sf, name):
     # A file stream takes folders or patterns, not a single file.
     df = table(spark, sf, name)

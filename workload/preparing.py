@@ -8,6 +8,7 @@ from tabloom.operators import balance as B
 from tabloom.operators import checks as K
 from tabloom.operators import examples as E
 from tabloom.operators import split as S
+from tabloom.spec import LabelMap
 from workload.inputs import (
     CUSTOMER_GAPS_SQL, CUSTOMER_SPEC, ORDER_EXAMPLES_SQL, ORDER_INPUT_SQL, ORDER_SPEC, STATUS, STATUS_SQL, customer_gaps,
 )
@@ -65,7 +66,16 @@ def build_examples(spark, sf):
 )
 def build_examples_gaps(spark, sf):
     """Missing targets dropped, missing features by policy."""
-    return E.build_examples(customer_gaps(spark, sf), CUSTOMER_SPEC)
+    gaps = customer_gaps(spark, sf)
+    return E.build_examples(gaps, E.fit_medians(gaps, CUSTOMER_SPEC))
+
+
+@query("map_target_long", "SELECT o_orderkey, 'c' || (o_custkey % 9) AS label FROM orders WHERE o_custkey % 2 = 0 AND o_custkey < 2000")
+def map_target_long(spark, sf):
+    """A thousand whole-number keys against a target held as double."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("y"))
+    mapping = LabelMap({i: f"c{i % 9}" for i in range(0, 2000, 2)})
+    return E.map_target(orders, "y", mapping).select("o_orderkey", "label")
 
 
 @query(

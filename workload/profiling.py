@@ -115,6 +115,15 @@ def value_counts_default(spark, sf):
     return P.value_counts(table(spark, sf, "part").drop("p_brand"))
 
 
+_WIDE_SQL = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {n}" for i, n in enumerate(WIDE)) + " FROM embeddings"
+
+
+@query("profile_wide", summary_sql(_WIDE_SQL, [("vec_id", "bigint"), ("label", "bigint"), *((n, "double") for n in WIDE)]))
+def profile_wide(spark, sf):
+    """Every numeric column of a wide table is summarised."""
+    return P.numeric_summary(wide_embeddings(spark, sf))
+
+
 @query("head_sample", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
 def head_sample(spark, sf):
     return P.head_sample(table(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"])

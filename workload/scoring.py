@@ -10,7 +10,7 @@ from workload.inputs import (
     BINARY, BINARY_PREDICTIONS_SQL, LABELS, PREDICTIONS_SQL, SCORED_SQL, STATUS, UNIVERSE_SQL, binary_predictions,
     extract_sql, predictions,
 )
-from workload.registry import query
+from workload.registry import query, table
 from tabloom.spec import LabelMap
 
 INSIDE = "('Open', 'Partly Open', 'Filled', 'UNPARSED')"
@@ -134,6 +134,20 @@ def confusion_matrix(spark, sf):
     return M.confusion_matrix(counts, M.label_universe(counts, STATUS))
 
 
+@query(
+    "confusion_sparse",
+    """SELECT 'all' AS split, truth, pred, count(*) AS n FROM (SELECT o_custkey::VARCHAR AS truth,
+      CASE WHEN o_orderkey % 3 = 0 THEN (SELECT min(o_custkey) FROM orders) ELSE o_custkey END::VARCHAR AS pred FROM orders) p GROUP BY ALL""",
+)
+def confusion_sparse(spark, sf):
+    """As many labels as customers, only the cells that occur."""
+    orders = table(spark, sf, "orders")
+    least = orders.agg(F.min("o_custkey")).scalar()
+    pred = F.when(F.col("o_orderkey") % 3 == 0, least).otherwise(F.col("o_custkey"))
+    rows = orders.select(F.lit("all").alias("split"), F.col("o_custkey").cast("string").alias("label"), pred.cast("string").alias("predict"))
+    return M.evaluate(rows, LabelMap(), dense=False)["confusion"]
+
+
 @query(
     "confusion_wide",
     "SELECT split, truth, " + ", ".join(
