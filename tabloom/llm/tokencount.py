@@ -14,6 +14,7 @@ repeated rows give repeated rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def write_token_files(
                 while row is not None and size < roll:
                     doc_id, text = row
                     for block in coder.encode((text or b"").decode()):
-                        data = np.fromiter((i for piece, _ in block for i in piece), kind).tobytes()
+                        data = np.fromiter(chain.from_iterable([ids for ids, _ in block]), kind).tobytes()
                         out.write(data)
                         size += len(data)
                     out.write(close)
