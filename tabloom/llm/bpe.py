@@ -28,14 +28,13 @@ import base64
 import hashlib
 import marshal
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import as_rows, per_text, text_of
+from tabloom.llm.common import as_rows, held, per_text, text_of
 
 MAX_STATES = 200_000
 MAX_PIECES = 160_000
@@ -277,10 +276,9 @@ class Utf8Stream:
         return rest.decode("utf-8", self.errors)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker; its tables serve all tasks that the worker runs."""
-    return Codec(path, pattern)
+    return held(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _digests(data: bytes, coder: Codec) -> tuple[int, str, str]:

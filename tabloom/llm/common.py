@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,21 @@ from tabloom.session import scratch_path
 # Texts handed to Python are read in slices of at most this many bytes.
 SLICE_BYTES = 16 << 20
 
+T = TypeVar("T")
+_held: dict = {}
+
+
+def held(key: Hashable, make: Callable[[], T]) -> T:
+    """The tables of an operator in this Python worker, made when first asked for.
+
+    They serve all tasks that the worker runs for that operator. A worker keeps the tables of one operator at a time: the
+    next operator that asks lets go of those before.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.

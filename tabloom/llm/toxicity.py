@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import labelled
-from tabloom.llm.common import as_rows, per_text, text_of
+from tabloom.llm.common import as_rows, held, per_text, text_of
 
 FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
 FIT_BYTES = 32_768
@@ -43,7 +44,7 @@ MAX_TERMS = 1_000
 MIN_LOG_ODDS = 2.5
 MIN_SHARE = 0.01
 MAX_STATES = 50_000
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 WINDOW = 8
 PIECE_CHARS = 1 << 20
 THRESHOLD = 0.5
@@ -319,8 +320,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    key = "toxicity", uuid.uuid4().hex
+
     def make():
-        scorer = Scorer(model)
+        scorer = held(key, lambda: Scorer(model))
         return lambda data: (scorer.score(data),)
 
     return per_text(rows, make, "score double")
