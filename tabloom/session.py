@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -19,13 +18,14 @@ SMALL_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests on one machine) gets a folder of
-    its own.
+    A session without that setting uses a folder in its warehouse, which the
+    executors of a cluster share as well.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tabloom-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(configured or f"{warehouse}/tabloom-scratch")
     return configured or context.getCheckpointDir()
 
 

@@ -34,12 +34,13 @@ from tabloom.session import settle, shared_dir
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 assert spark.sparkContext.getConf().get("spark.checkpoint.dir") is None
 assert shared_dir(spark) == shared_dir(spark)
+assert spark.conf.get("spark.sql.warehouse.dir").split(":")[-1] in shared_dir(spark)
 assert settle(spark.range(9), 3)[0].count() == 9
 print("settled")
 """
 
 
-def test_a_session_without_the_setting_gets_its_own_folder(tmp_path):
+def test_a_session_without_the_setting_uses_its_warehouse(tmp_path):
     env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(REPO), "TMPDIR": str(tmp_path)}
-    done = subprocess.run([sys.executable, "-c", UNSET], env=env, capture_output=True, text=True, timeout=180)
+    done = subprocess.run([sys.executable, "-c", UNSET], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
     assert "settled" in done.stdout, done.stderr[-2000:]
