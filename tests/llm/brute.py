@@ -35,3 +35,13 @@ def near_pairs(values, budget=3):
     for i in range(len(v)):
         for j in np.flatnonzero(np.bitwise_count(v[i] ^ v[i + 1:]) <= budget):
             yield i, i + 1 + int(j)
+
+
+def shingle_pairs(texts, size=5):
+    """Pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} for w in words]
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                yield i, j
