@@ -24,6 +24,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,8 +65,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = (
     ("secret", re.compile(
         r"(?i)(?<![^\W_])(?:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key|auth[_-]?key|private[_-]?key)[\"']?"
-        r"\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-/+=.]{8,512})")),
-    ("secret", re.compile(r"(?<!\w)(?P<value>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,255})(?!\w)")),
+        r"\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-/+=.]{8,})")),
+    ("secret", re.compile(r"(?<!\w)(?P<value>AKIA[0-9A-Z]{16}(?!\w)|gh[pousr]_[A-Za-z0-9_\-]{20,}|sk-[A-Za-z0-9_\-]{20,})")),
     ("email", re.compile(r"(?<![\w.%+-])(?P<value>[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])")),
     ("iban", re.compile(r"(?<!\w)(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])(?P<value>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)")),
@@ -82,9 +83,15 @@ NAMED_IN_SPARK = "(?:" + "|".join(re.escape(t) for t in _GENDER) + ") \\p{Lu}"
 
 # Keyed permutations -----------------------------------------------------------------
 
-@lru_cache(maxsize=65_536)
 def _permuted(key: bytes, tweak: str, value: int, size: int, back: bool) -> int:
+    # Long values are not worth keeping.
+    return (_permuted_long if size.bit_length() > 4096 else _permuted_short)(key, tweak, value, size, back)
+
+
+def _permuted_long(key: bytes, tweak: str, value: int, size: int, back: bool) -> int:
     """A balanced Feistel network over [0, size), walking on until it lands inside."""
+    # Decimal digits are limited in length, hexadecimal ones are not.
+    spelled = f"{size:x}" if size.bit_length() > 4096 else str(size)
     half = max(1, (max(2, size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
@@ -92,7 +99,7 @@ def _permuted(key: bytes, tweak: str, value: int, size: int, back: bool) -> int:
         for i in range(ROUNDS):
             turn = ROUNDS - 1 - i if back else i
             known = left if back else right
-            data = f"{tweak}|{size}|{turn}|{known}".encode()
+            data = (f"{tweak}|{spelled}|{turn}|{known:x}" if size.bit_length() > 4096 else f"{tweak}|{spelled}|{turn}|{known}").encode()
             mixed = int.from_bytes(hmac.digest(key, data, "sha256"), "big") & mask
             if half > 256:
                 wide = hashlib.shake_256(hmac.digest(key, data, "sha512")).digest(half // 8 + 1)
@@ -103,11 +110,14 @@ def _permuted(key: bytes, tweak: str, value: int, size: int, back: bool) -> int:
             return value
 
 
+_permuted_short = lru_cache(maxsize=65_536)(_permuted_long)
+
+
 def exchanged(key: bytes, tweak: str, value: int, size: int) -> int:
     """A keyed permutation of [0, size) without fixed points: permute, step on, permute back."""
     if size < 2:
         return value
-    step = 1 + int.from_bytes(hmac.digest(key, f"step|{tweak}|{size}".encode(), "sha256"), "big") % (size - 1)
+    step = 1 + int.from_bytes(hmac.digest(key, f"step|{tweak}|{size:x}".encode() if size.bit_length() > 4096 else f"step|{tweak}|{size}".encode(), "sha256"), "big") % (size - 1)
     place = (_permuted(key, tweak, value, size, False) + step) % size
     return _permuted(key, tweak, place, size, True)
 
@@ -121,21 +131,39 @@ def _alphabet(char: str) -> str:
     return char
 
 
+def _packed(places: list[int], sizes: list[int]) -> tuple[int, int]:
+    """A number with one digit per place, the first the highest, and the number of such numbers; by halves, as texts may be long."""
+    if len(places) <= 64:
+        value, size = 0, 1
+        for at, n in zip(places, sizes):
+            value, size = value * n + at, size * n
+        return value, size
+    half = len(places) // 2
+    (high, above), (low, below) = _packed(places[:half], sizes[:half]), _packed(places[half:], sizes[half:])
+    return high * below + low, above * below
+
+
+def _unpacked(value: int, sizes: list[int]) -> list[int]:
+    if len(sizes) <= 64:
+        out = []
+        for n in reversed(sizes):
+            value, at = divmod(value, n)
+            out.append(at)
+        return out[::-1]
+    half = len(sizes) // 2
+    high, low = divmod(value, prod(sizes[half:]))
+    return _unpacked(high, sizes[:half]) + _unpacked(low, sizes[half:])
+
+
 def respelled(key: bytes, tweak: str, text: str, hexadecimal: bool = False) -> str:
     """The text with its letters and digits exchanged; case, marks and other characters stay."""
     small = [c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in text]
     sets = ["0123456789abcdef" if hexadecimal and c in "0123456789abcdef" else _alphabet(c) for c in small]
-    size = value = 1
-    value = 0
-    for c, letters in zip(small, sets):
-        size, value = size * len(letters), value * len(letters) + letters.index(c)
+    sizes = [len(letters) for letters in sets]
+    value, size = _packed([letters.index(c) for c, letters in zip(small, sets)], sizes)
     shape = tweak + "|" + ",".join(s if len(s) == 1 else f"#{len(s)}{s[0]}" for s in sets)
     value = exchanged(key, shape, value, size)
-    out = []
-    for letters in reversed(sets):
-        value, at = divmod(value, len(letters))
-        out.append(letters[at])
-    out.reverse()
+    out = [letters[at] for letters, at in zip(sets, _unpacked(value, sizes))]
     if hexadecimal:
         fresh = "".join(out)
         return fresh.upper() if text == text.upper() else fresh
