@@ -5,7 +5,8 @@ letters of the same alphabet and case, digits digits, marks stay, and so do coun
 domains, private address ranges and the validity of check digits. Being a permutation without fixed points, it gives different values
 different surrogates, the same value the same one everywhere, and nobody their own; no table is needed.
 
-Names (after a title, which tells the gender) cannot be permuted, as the set of names is open. All distinct names of the corpus are
+Names (found by a title, which tells the gender: all capitalised words behind it with particles, hyphens and apostrophes, and
+every further mention of these words in the same text; persons who nowhere have a title are not found) cannot be permuted, as the set of names is open. All distinct names of the corpus are
 gathered with partial aggregation; each draws a surrogate from the list of its gender and script, by key, and all
 draws are checked against each other, against those settled before, and against the names that occur.
 Colliding names draw again, from combinations of more names each second time, until none collide. The
@@ -77,8 +78,12 @@ PATTERNS = (
 )
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 _TITLE_WORDS = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
-NAMED = re.compile(rf"(?<!\w)(?P<title>{_TITLE_WORDS}) (?P<names>[^\W\d_]{{2,40}}(?: [^\W\d_]{{2,40}})?)(?!\w)")
-NAMED_IN_SPARK = "(?:" + "|".join(re.escape(t) for t in _GENDER) + ") \\p{Lu}"
+TITLE = re.compile(rf"(?<!\w)(?P<title>{_TITLE_WORDS})[ \u00a0]{{1,3}}(?=[^\W\d_])")
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+GAP = re.compile(r"\.?[ \u00a0]{1,3}(?=[^\W\d_])")
+POSSESSIVE = ("'s", "’s")
+PARTICLES = frozenset("von vom van der den dem de del della di da do dos das du la le ter ten zu zum zur af av bin ibn al el y e".split())
+NAMED_IN_SPARK = "(?:" + "|".join(re.escape(t) for t in _GENDER) + ")[ \u00a0]{1,3}\\p{L}"
 
 
 # Keyed permutations -----------------------------------------------------------------
@@ -263,21 +268,68 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "latin"
 
 
+def _phrase(text: str, at: int, title: str) -> tuple[list[tuple[int, int, str]], str, int]:
+    """Words of the name that begins behind a title, the gender, and where the name ends."""
+    gender, found, end, particles = _GENDER[title], [], at, 0
+    while m := WORD.match(text, at):
+        further = TITLE.match(text, at)
+        if further:
+            gender = _GENDER[further["title"]] if gender == "u" else gender
+            at = further.end()
+            continue
+        word, stop = m[0], m.end()
+        if word.endswith(POSSESSIVE):
+            word, stop = word[:-2], stop - 2
+        if word[0].isupper():
+            found.append((at, stop, word))
+            end, particles = stop, 0
+        elif word in PARTICLES and particles < 3:
+            particles += 1
+        else:
+            break
+        gap = GAP.match(text, stop)
+        # A full stop ends the name, but not an initial.
+        if not gap or stop < m.end() or gap[0][0] == "." and len(word) > 1:
+            break
+        at = gap.end()
+    return found, gender, end
+
+
 def names(text: str) -> list[tuple[int, int, str]]:
-    """Places of the words of names, with ``kind/word``: s a surname, f m u a given name."""
+    """Places of the words of names, with ``kind/word``: s a surname, f m u a given name, i an initial. Further
+    mentions of the words in the same text count too; they have the kind of the first."""
     if not any(title in text for title in _GENDER):
         return []
+    kinds: dict[str, str] = {}
     found = []
-    for m in NAMED.finditer(text):
-        start = m.start("names")
-        words = [w for w in m["names"].split(" ") if w[0].isupper()]
-        if not words or not m["names"].startswith(words[0]):
+    after = 0
+    for m in TITLE.finditer(text):
+        if m.start() < after:
             continue
-        for i, word in enumerate(words):
-            kind = "s" if i == len(words) - 1 else _GENDER[m["title"]]
-            found.append((start, start + len(word), f"{kind}/{word}"))
-            start += len(word) + 1
-    return found
+        words, gender, after = _phrase(text, m.end(), m["title"])
+        for i, (start, stop, word) in enumerate(words):
+            if len(word) == 1:
+                found.append((start, stop, f"i/{word}"))
+                continue
+            kind = "s" if i == len(words) - 1 else gender
+            # A given name beside a surname tells more than a name alone.
+            kinds[word] = min(kinds.get(word, kind), kind)
+            found.append((start, stop, f"{kind}/{word}"))
+    if not kinds:
+        return found
+    for m in WORD.finditer(text):
+        start = m.start()
+        whole = m[0] in kinds
+        for part in [m[0]] if whole else re.split("(['’-])", m[0]):
+            if part in kinds:
+                found.append((start, start + len(part), f"{kinds[part]}/{part}"))
+            start += len(part)
+    return sorted({(a, b): (a, b, e if e[0] == "i" else f"{kinds[e[2:]]}/{e[2:]}") for a, b, e in found}.values())
+
+
+def words_of(text: str) -> list[str]:
+    """The distinct ``kind/word`` of a text that are looked up in the map."""
+    return sorted({e for _, _, e in names(text) if e[0] != "i"})
 
 
 def drawn_name(key: bytes, entity: str, attempt: int) -> str:
@@ -292,15 +344,17 @@ def drawn_name(key: bytes, entity: str, attempt: int) -> str:
 
 
 def name_map(docs_text: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``(entity, surrogate)`` for all names in column ``_text``, distinct and staged."""
+    """``(entity, surrogate)`` for all words of names in column ``_text``, distinct and staged. A word has one entry, whatever
+    its place in a name; its kind is the first of f, m, s, u that occurs."""
 
     def make():
-        return lambda data: (sorted({e for _, _, e in names(data.decode("utf-8", "replace"))}),)
+        return lambda data: (words_of(data.decode("utf-8", "replace")),)
 
     found = per_text(docs_text.select("_text"), make, "entities array<string>")
-    wanted = stage(found.select(F.explode("entities").alias("entity")).distinct(), "names")
-    # No surrogate may be a name of the corpus, of whatever kind.
-    real = stage(wanted.select(F.substring_index("entity", "/", -1).alias("_real")).distinct(), "realnames")
+    words = found.select(F.explode("entities").alias("_e")).select(F.substring_index("_e", "/", -1).alias("entity"), F.substring_index("_e", "/", 1).alias("kind"))
+    wanted = stage(words.groupBy("entity").agg(F.min("kind").alias("kind")), "names")
+    # No surrogate may be a name of the corpus.
+    real = wanted.select(F.col("entity").alias("_real"))
 
     @F.pandas_udf("string")
     def draw(entity, attempt):
@@ -311,7 +365,7 @@ def name_map(docs_text: DataFrame, key: bytes = KEY) -> DataFrame:
     for attempt in range(MAX_ATTEMPTS):
         if left.isEmpty():
             return settled
-        draws = stage(left.select("entity", draw("entity", F.lit(attempt)).alias("surrogate")), "draws")
+        draws = stage(left.select("entity", draw(F.concat_ws("/", "kind", "entity"), F.lit(attempt)).alias("surrogate")), "draws")
         first = draws.groupBy("surrogate").agg(F.min("entity").alias("entity"))
         free = first.join(real, F.col("surrogate") == F.col("_real"), "left_anti").join(
             settled.select(F.col("surrogate").alias("_taken")), F.col("surrogate") == F.col("_taken"), "left_anti")
@@ -324,7 +378,11 @@ def name_map(docs_text: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _rewritten(text: str, known: dict[str, str], key: bytes) -> tuple[str, int, list[str]]:
     spots = [(a, b, kind, surrogate(key, kind, text[a:b])) for a, b, kind in entities(text)]
-    spots += [(a, b, "name", known[e]) for a, b, e in names(text) if e in known]
+    for a, b, e in names(text):
+        if e[0] == "i":
+            spots.append((a, b, "name", respelled(key, "initial", e[2:])))
+        elif e[2:] in known:
+            spots.append((a, b, "name", known[e[2:]]))
     spots.sort()
     out, at, kinds = [], 0, []
     for start, end, kind, fresh in spots:
@@ -343,7 +401,7 @@ def _replaced(rows: DataFrame, key: bytes) -> DataFrame:
     table = name_map(with_names, key)
     # Texts with names get the part of the map that they need; equal texts share it.
     def make_lookup():
-        return lambda data: (sorted({e for _, _, e in names(data.decode("utf-8", "replace"))}),)
+        return lambda data: (sorted({e[2:] for e in words_of(data.decode("utf-8", "replace"))}),)
 
     texts = with_names.select(F.sha2("_text", 256).alias("_sha"), "_text").dropDuplicates(["_sha"])
     pairs = per_text(texts, make_lookup, "entities array<string>").select("_sha", F.explode("entities").alias("entity"))

@@ -19,3 +19,20 @@ def test_secrets_are_replaced_to_their_end():
         assert secret[-20:] not in rewritten(f"key {secret} end") and rewritten(f"key {secret} end").endswith(" end")
     one, two = (surrogates.surrogate(KEY, "secret", "q" * 3_000 + c) for c in "ab")
     assert one != two
+
+
+def test_whole_names_and_their_further_mentions(spark):
+    texts = [
+        "Mr. John Ronald Tolkien wrote. Later Tolkien left; Tolkien's book and John stayed.", "Dr. Anna-Maria Klein came.",
+        "Frau von Weber sang.", "Herr Dr. Jürgen van der Berg and Mrs. O'Brien met.", "Mr. J. R. R. Hobbes slept.", "Mr. John came.",
+        "Mr. John Smith came.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in surrogates.replace_report(docs, key=KEY).orderBy("doc_id").collect()]
+    for word in ("John", "Ronald", "Tolkien", "Anna", "Maria", "Klein", "Weber", "Jürgen", "Berg", "Brien", "Hobbes", "J. R. R.", "Smith"):
+        assert not any(word in t for t in got), word
+    first = got[0].split()
+    assert first[3] == first[6] and first[8] == first[3] + "'s" and first[1] == first[11]
+    assert got[2].startswith("Frau von ") and " van der " in got[3] and got[3].startswith("Herr Dr. ")
+    # One surrogate for a word, as a surname and as a given name.
+    assert got[5].split()[1] == got[6].split()[1] == first[1]
