@@ -25,6 +25,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import prod
 
 import pyarrow as pa
@@ -71,10 +72,12 @@ PATTERNS = (
     ("email", re.compile(r"(?<![\w.%+-])(?P<value>[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])")),
     ("iban", re.compile(r"(?<!\w)(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])(?P<value>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)")),
+    ("phone", re.compile(r"(?P<value>\+(?<![\w.+]\+)(?:[ ./()-]{0,2}\d){7,15})(?!\w)")),
+    ("phone", re.compile(r"(?P<value>\d(?<![\w.+-]\d)\d{9})(?!\w|[.-]\d)")),
     ("card", re.compile(r"(?<!\w)(?P<value>\d(?:[ -]?\d){12,18})(?!\w)")),
     ("ssn", re.compile(r"(?<!\w)(?P<value>\d{3}-\d{2}-\d{4})(?!\w)")),
     ("ip", re.compile(rf"(?<![\w.])(?P<value>{OCTET}(?:\.{OCTET}){{3}})(?!\w|\.\d)")),
-    ("ip6", re.compile(r"(?<![\w:])(?P<value>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?![\w:])")),
+    ("ip6", re.compile(rf"(?<![\w:.])(?P<value>(?=[0-9a-fA-F]{{0,4}}:)[0-9a-fA-F:]{{2,39}}(?:(?<=:){OCTET}(?:\.{OCTET}){{3}})?)(?![\w:]|\.\d)")),
 )
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 _TITLE_WORDS = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
@@ -217,6 +220,50 @@ def _ip(key: bytes, text: str) -> str:
             return text
 
 
+# Country codes of one and two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _phone(key: bytes, text: str) -> str:
+    digits = "".join(c for c in text if c.isdigit())
+    kept = max(0, len(digits) - 10)
+    if text[0] == "+":
+        kept = next((n for n in (1, 2) if digits[:n] in CODES), 3)
+    return _into(text, digits[:kept] + respelled(key, "phone", digits[kept:]))
+
+
+def _is_ip6(text: str) -> bool:
+    """Valid, with a digit (a::b may be code), and neither unspecified nor the loopback."""
+    try:
+        return int(IPv6Address(text)) > 1 and any(c.isdigit() for c in text)
+    except ValueError:
+        return False
+
+
+def _ip6(key: bytes, text: str) -> str:
+    """The groups that are not zero exchanged, so that every spelling of an address gets the same one."""
+    if "." in text:
+        head, _, tail = text.rpartition(":")
+        return head + ":" + _ip(key, tail)
+    whole = int(IPv6Address(text))
+    groups = [whole >> 16 * i & 0xFFFF for i in reversed(range(8))]
+    if groups[:5] == [0] * 5 and groups[5] == 0xFFFF:
+        fresh = list(map(int, _ip(key, ".".join(str(g >> k & 255) for g in groups[6:] for k in (8, 0))).split(".")))
+        new = groups[:6] + [fresh[0] << 8 | fresh[1], fresh[2] << 8 | fresh[3]]
+    else:
+        shape = "ip6|" + "".join("0" if g == 0 else "x" for g in groups)
+        value, size = _packed([g - 1 for g in groups if g], [65_535] * sum(g > 0 for g in groups))
+        rest = iter(_unpacked(exchanged(key, shape, value, size), [65_535] * sum(g > 0 for g in groups)))
+        new = [next(rest) + 1 if g else 0 for g in groups]
+    # Groups of the text in order; a gap stands for zeros.
+    before, gap, after = text.partition("::")
+    own = [before.split(":") if before else [], after.split(":") if after else []]
+    fresh = [new[:len(own[0])], new[8 - len(own[1]):] if own[1] else []]
+    sides = [":".join(f"{v:0{len(g) if g[0] == '0' else 1}x}" for g, v in zip(*x)) for x in zip(own, fresh)]
+    out = sides[0] + gap + sides[1]
+    return out.upper() if text == text.upper() else out
+
+
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The surrogate of an entity that is not a name, in the spelling of this mention."""
     if kind == "email":
@@ -224,9 +271,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         labels, _, top = domain.rpartition(".")
         return respelled(key, "local|" + domain.lower(), local) + "@" + respelled(key, "domain", labels) + "." + top
     if kind == "phone":
-        digits = "".join(c for c in text if c.isdigit())
-        own = min(10, len(digits))
-        return _into(text, digits[:-own] + respelled(key, "phone", digits[-own:]))
+        return _phone(key, text)
     if kind == "card":
         return _card(key, text)
     if kind == "ip":
@@ -237,7 +282,9 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         bare = text.lower()
         one_case = text in (bare, text.upper())
         return respelled(key, "secret", text, one_case and all(c in "0123456789abcdef" for c in bare))
-    return respelled(key, kind, text, kind == "ip6")
+    if kind == "ip6":
+        return _ip6(key, text)
+    return respelled(key, kind, text)
 
 
 # Finding -------------------------------------------------------------------------------
@@ -246,13 +293,13 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     """Places and kinds of all entities but names, without overlaps, in order."""
     found: list[tuple[int, int, str]] = []
     digits = re.search(r"\d", text) is not None
-    marks = {"email": "@" in text, "secret": True}
+    marks = {"email": "@" in text, "secret": True, "ip6": text.count(":") > 1}
     for kind, pattern in PATTERNS:
-        if not marks.get(kind, digits):
+        if not (marks.get(kind, digits) and digits >= (kind == "ip6")):
             continue
         if kind == "secret" and not ("=" in text or ":" in text or "AKIA" in text or "gh" in text or "sk-" in text):
             continue
-        found += [(*m.span("value"), kind) for m in pattern.finditer(text)]
+        found += [(*m.span("value"), kind) for m in pattern.finditer(text) if kind != "ip6" or _is_ip6(m["value"])]
     rank = {kind: i for i, (kind, _) in reversed(list(enumerate(PATTERNS)))}
     kept: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(found, key=lambda f: (rank[f[2]], f[0], -f[1])):
@@ -465,5 +512,7 @@ def bare(kind: str, text: str) -> str:
     if kind in ("card", "ssn", "iban"):
         return "".join(c for c in text if c.isalnum())
     if kind == "phone":
-        return "".join(c for c in text if c.isdigit())
+        return "+" * (text[0] == "+") + "".join(c for c in text if c.isdigit())
+    if kind == "ip6":
+        return str(int(IPv6Address(text)))
     return text if kind == "secret" else text.lower()

@@ -1,5 +1,8 @@
 """Personal data of forms that the test documents do not have."""
 
+import re
+from ipaddress import IPv6Address
+
 from tabloom.llm import surrogates
 
 KEY = b"k"
@@ -36,3 +39,22 @@ def test_whole_names_and_their_further_mentions(spark):
     assert got[2].startswith("Frau von ") and " van der " in got[3] and got[3].startswith("Herr Dr. ")
     # One surrogate for a word, as a surname and as a given name.
     assert got[5].split()[1] == got[6].split()[1] == first[1]
+
+
+def test_numbers_of_other_countries():
+    for phone in ("+44 20 7946 0958", "+49 30 1234567", "+33 1 23 45 67 89", "5551234567", "+4915112345678", "+352 26 12 34 56", "+1 (013) 555-9871"):
+        new = rewritten(f"call {phone}, please")[5:-8]
+        assert new != phone and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", phone), phone
+        assert phone[0] != "+" or new.split(" ")[0][:2] == phone.split(" ")[0][:2]
+    assert rewritten("+44 20 7946 0958") == rewritten("+442079460958").replace("+44", "+44 ", 1)[:6] + " " + rewritten("+442079460958")[5:9] + " " + rewritten("+442079460958")[9:]
+
+
+def test_short_forms_of_ip6():
+    for address in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:0:8:800:200C:417A", "::ffff:93.184.216.34", "1:2:3:4:5:6:7:8", "2001:db8::", "::ffff:5db8:d822"):
+        new = rewritten(f"from {address} on")[5:-3]
+        assert IPv6Address(new) != IPv6Address(address) and new.count(":") == address.count(":"), address
+    same = {IPv6Address(rewritten(a)) for a in ("2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:DB8:0::0:1")}
+    assert len(same) == 1
+    assert IPv6Address(rewritten("::ffff:93.184.216.34")) == IPv6Address(rewritten("::ffff:5db8:d822"))
+    for text in ("at 12:30 and 10:15:20", "std::vector a::b", "::1", "key: value"):
+        assert rewritten(text) == text
