@@ -51,6 +51,15 @@ def as_rows(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def whole_utf8(data: bytes) -> bytes:
+    """The bytes of a text, with U+FFFD in place of what is not UTF-8."""
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return data.decode("utf-8", "replace").encode()
+    return data
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the values of a binary column stay under ``limit``
     bytes per piece (a single longer value is a piece of its own)."""

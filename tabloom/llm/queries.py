@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tabloom.llm import bpe, embeddings, exact, mixing, quality, simhash, surrogates, tokencount, toxicity, warc
+from tabloom.llm import bpe, divergence, embeddings, exact, fertility, fim, mixing, quality, simhash, surrogates, tokencount, toxicity, warc
 from workload.registry import query, table
 
 EXACT_SQL = """
@@ -112,3 +112,82 @@ def embedding_near_dedup(spark, sf_dir):
 @query("op6_pii_surrogates")
 def pii_surrogates(spark, sf_dir):
     return surrogates.replace_report(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), words AS (
+    SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3
+), counts AS (
+    SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+    SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), sizes AS (
+    SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL
+), grid AS (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+           (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + v.v))::HUGEINT AS p,
+           (1 + 1000000000::HUGEINT * (k.total + 1) // (v.n + v.v))::HUGEINT AS q
+    FROM sizes s JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), listed AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM grid WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM listed)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark, sf_dir):
+    return divergence.source_audit(table(spark, sf_dir, "documents"))
+
+
+FIM_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+), cut AS (
+    SELECT *, cast('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, cast('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+           CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR cast('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                WHEN cast('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, substr(text, 1, least(x, y)) AS prefix, substr(text, least(x, y) + 1, abs(x - y)) AS middle,
+           substr(text, greatest(x, y) + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op12_fill_in_middle", FIM_SQL)
+def fill_in_middle(spark, sf_dir):
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fertility_rules")
+def fertility_rules(spark, sf_dir):
+    names = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
+    byte_level, with_fallback = (public_tokenizers.path(name) for name in names)
+    return fertility.fertility_report(table(spark, sf_dir, "documents"), byte_level, public_tokenizers.PATTERN, with_fallback)
