@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.payload import STRICT_JSON, is_one_json_object
+from tabloom.sources.blocks import JSON, read_records
 from tabloom.spec import EXAMPLE_SCHEMA
 
 FILE_FORMATS = ("json", "parquet")
@@ -17,15 +18,18 @@ PREDICT_FIELDS = ("predict", "prediction")
 LABEL_FIELDS = ("label", "ground_truth")
 
 
-def read_examples(spark: SparkSession, path: str, fmt: str = "array", partitions: int | None = None) -> DataFrame:
+def read_examples(
+    spark: SparkSession, path: str, fmt: str = "array", partitions: int | None = None, block_bytes: int | None = None
+) -> DataFrame:
     """Example set: "array" (one JSON array per file), "json" (lines) or "parquet".
 
-    An array file can only be parsed as one task, so its rows are spread at once;
-    large sets belong in lines or Parquet.
+    An array file is cut at its records by many tasks (see ``blocks``; ``block_bytes`` sets the size of a block), whatever its
+    line breaks. A record that is no example gives a row of nulls. ``partitions`` spreads the rows of few large blocks.
     """
     if fmt == "array":
-        rows = spark.read.schema(EXAMPLE_SCHEMA).option("multiLine", True).json(path)
-        return rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        schema = EXAMPLE_SCHEMA.simpleString()
+        rows = read_records(spark, path, JSON, lambda c: F.from_json(F.ltrim(c, F.lit("[,\ufeff \t\r\n")), schema), block_bytes).drop("_first")
+        return rows.repartition(partitions) if partitions else rows
     if fmt == "json":
         return spark.read.schema(EXAMPLE_SCHEMA).json(path)
     return spark.read.format(fmt).load(path)
