@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import fields as dataclass_fields
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,19 @@ def apply_selection(spec: PrepSpec, selection: Selection) -> PrepSpec:
     return replace(spec, features=selection.selected) if selection.selected else spec
 
 
+def _parameters(spec: PrepSpec, choose_features: bool, ratio: float, seed: int, task: str, strategy: str) -> dict[str, dict]:
+    """What each stage depends on, as given by the caller. Medians and chosen features follow from these and the table."""
+    fields = {f.name: getattr(spec, f.name) for f in dataclass_fields(spec) if f.name != "mapping"}
+    told = {k: dict(v) if isinstance(v, Mapping) else list(v) if isinstance(v, tuple) else v for k, v in fields.items()}
+    # Without its order a mapping would not be the same: labels are tried in it.
+    examples = {**told, "mapping": [list(p) for p in spec.mapping.pairs], "choose_features": choose_features}
+    if choose_features or any(spec.policy(f) == "median" for f in spec.features):
+        # These are fitted on the training side.
+        examples |= {"seed": seed, "task": task, "ratio": ratio}
+    split_by = {**examples, "ratio": ratio, "seed": seed, "task": task}
+    return {"examples": examples, "split": split_by, "balanced": {**split_by, "strategy": strategy}}
+
+
 def prepare(
     table: DataFrame,
     spec: PrepSpec,
@@ -44,7 +58,8 @@ def prepare(
     With a separate test table nothing is split; a run made that way stays so when it
     is started again, since the saved examples tell. ``start`` names a saved stage of
     this run to go on from; that stage and those before it are read, the later ones
-    are made again. Only training rows are balanced, after the split.
+    are made again. A stage that is read must have been made with the same parameters, else ``StageMismatch`` is
+    raised. Only training rows are balanced, after the split.
 
     Medians the spec does not bring are fitted on training rows: the table, or without
     a test table those of its rows that this ratio, seed and task put on the training side.
@@ -52,6 +67,7 @@ def prepare(
     spark: SparkSession = table.sparkSession
     done: dict[str, DataFrame] = {}
     spec = replace(spec, keep=tuple(key))
+    made = _parameters(spec, choose_features, ratio, seed, task, strategy)
 
     if start == "table":
         if choose_features:
@@ -66,9 +82,9 @@ def prepare(
         examples = build_examples(table, spec).withColumn("set", F.lit("all"))
         if test_table is not None:
             examples = examples.unionByName(build_examples(test_table, spec).withColumn("set", F.lit(TEST)))
-        done["examples"] = write_stage(examples, root, run_id, "examples")
+        done["examples"] = write_stage(examples, root, run_id, "examples", made["examples"])
     elif start in STAGES:
-        done["examples"] = read_stage(spark, root, run_id, "examples")
+        done["examples"] = read_stage(spark, root, run_id, "examples", made["examples"])
     else:
         raise ValueError(f"start must be table or one of {STAGES}, not {start!r}")
 
@@ -79,13 +95,14 @@ def prepare(
             marked = assign_split(main.drop("set"), other.drop("set"))
         else:
             marked = split(rows.drop("set"), key, "output", ratio, seed, task)
-        done["split"] = write_stage(marked, root, run_id, "split")
+        done["split"] = write_stage(marked, root, run_id, "split", made["split"])
     else:
-        done["split"] = read_stage(spark, root, run_id, "split")
+        done["split"] = read_stage(spark, root, run_id, "split", made["split"])
 
     if start == "balanced":
-        done["balanced"] = read_stage(spark, root, run_id, "balanced")
+        # The default strategy means: as it was balanced.
+        done["balanced"] = read_stage(spark, root, run_id, "balanced", made["balanced" if strategy != "none" else "split"])
         return done
     train = done["split"].filter(F.col("split") == TRAIN).drop("split")
-    done["balanced"] = write_stage(balance(train, strategy, "output", key, seed), root, run_id, "balanced")
+    done["balanced"] = write_stage(balance(train, strategy, "output", key, seed), root, run_id, "balanced", made["balanced"])
     return done

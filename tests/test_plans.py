@@ -1,5 +1,6 @@
 """Shape of the plans: what must not happen at scale."""
 
+from dataclasses import replace
 from statistics import median
 
 import pytest
@@ -14,7 +15,8 @@ from tabloom.operators import split as S
 from tabloom.operators.examples import build_examples
 from tabloom.plans.dataset import prepare
 from tabloom.plans.evaluation import score_files
-from tabloom.spec import PrepSpec
+from tabloom.sources.stages import StageMismatch
+from tabloom.spec import LabelMap, PrepSpec
 from tabloom.streaming.live import append_to, stream_examples, stream_labels
 from workload.inputs import ORDER_SPEC, STATUS, predictions
 
@@ -87,6 +89,12 @@ def test_main_path(spark, orders, tmp_path):
     assert again["balanced"].count() == 1200
     with pytest.raises(FileNotFoundError):
         prepare(orders, ORDER_SPEC, ["o_orderkey"], str(tmp_path), "other", start="split")
+    with pytest.raises(StageMismatch, match="ratio"):
+        prepare(orders, ORDER_SPEC, ["o_orderkey"], str(tmp_path), "r1", start="split", ratio=0.3)
+    with pytest.raises(StageMismatch, match="mapping"):
+        prepare(orders, replace(ORDER_SPEC, mapping=LabelMap({"O": "x"})), ["o_orderkey"], str(tmp_path), "r1", start="examples")
+    with pytest.raises(StageMismatch, match="strategy"):
+        prepare(orders, ORDER_SPEC, ["o_orderkey"], str(tmp_path), "r1", start="balanced", strategy="oversample")
     with pytest.raises(ValueError):
         prepare(orders, ORDER_SPEC, ["o_orderkey"], str(tmp_path), "r1", start="nowhere")
 

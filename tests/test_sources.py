@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from tabloom.sources.examples import read_examples, read_predictions, write_examples
-from tabloom.sources.stages import read_stage, stage_runs, write_stage
+from tabloom.sources.stages import StageMismatch, manifests, read_stage, stage_runs, write_stage
 from tabloom.sources.tables import read_table, scan_health, schema_alignment
 
 
@@ -27,14 +27,14 @@ def test_csv_types(spark, tmp_path):
     assert [r["text"] for r in rows] == ["a, b", None, 'say "hi"']
 
 
-def test_shape_of_a_normal_csv(spark, tmp_path):
-    path = tmp_path / "data.csv"
-    path.write_text("a,b,target\n1,2,yes\n3,4,no\n5,6,yes\n")
+def test_shape_of_a_sound_table(spark, tmp_path):
+    path = tmp_path / "plants.csv"
+    path.write_text("plot;no,height_cm,watered,flower\n" + "".join(f"p{i},{i * 1.5},{i % 3},{'none' if i % 4 else 'red'}\n" for i in range(17)))
     row = scan_health(spark, str(path)).first()
-    assert (row["ok"], row["n_rows"], row["n_columns"], row["n_corrupt"]) == (True, 3, 3, 0)
+    assert (row["ok"], row["n_rows"], row["n_columns"], row["n_corrupt"]) == (True, 17, 4, 0)
 
 
-@pytest.mark.parametrize("content", [b"", b"\x00\x01\x02\x03\xff\xfe"])
+@pytest.mark.parametrize("content", [b"", b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR", b"\x07\x1b[31m,\x08\n1,2\n"])
 def test_damaged_csv_is_reported(spark, tmp_path, content):
     path = tmp_path / "bad.csv"
     path.write_bytes(content)
@@ -123,3 +123,25 @@ def test_stages(spark, tmp_path):
     assert {tuple(r) for r in stage_runs(spark, root, "examples").collect()} == {("a", 7), ("b", 2)}
     with pytest.raises(FileNotFoundError):
         read_stage(spark, root, "c", "examples")
+
+
+def test_a_killed_write_leaves_the_older_stage(spark, tmp_path):
+    root = str(tmp_path)
+    write_stage(spark.range(7), root, "a", "examples", {"seed": 1})
+    late = spark.range(40).repartition(8).selectExpr("IF(id = 39, raise_error('lost'), id) AS id")
+    with pytest.raises(PySparkException):
+        write_stage(late, root, "a", "examples", {"seed": 2})
+    assert read_stage(spark, root, "a", "examples", {"seed": 1}).count() == 7
+    assert [r["version"] for r in manifests(spark, root, "examples").collect()] == [1]
+
+
+def test_stages_of_other_parameters_are_refused(spark, tmp_path):
+    root = str(tmp_path)
+    write_stage(spark.range(3), root, "a", "split", {"ratio": 0.2, "seed": 42})
+    write_stage(spark.range(5), root, "a", "split", {"ratio": 0.3, "seed": 42})
+    assert read_stage(spark, root, "a", "split", {"seed": 42}).count() == 5
+    with pytest.raises(StageMismatch, match="ratio: 0.3, not 0.2"):
+        read_stage(spark, root, "a", "split", {"ratio": 0.2})
+    rows = sorted((r["version"], r["n_rows"]) for r in manifests(spark, root, "split").collect())
+    assert rows == [(1, 3), (2, 5)] and {tuple(r) for r in stage_runs(spark, root, "split").collect()} == {("a", 5)}
+    assert manifests(spark, root, "none").isEmpty()
