@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.keys import class_of, row_hash
 from tabloom.functions.text import quoted
 from tabloom.operators.profile import class_distribution
-from tabloom.operators.select import attach, class_counts, pick_lowest, repeat_rows
+from tabloom.operators.select import attach, class_counts, heavy_classes, pick_lowest, repeat_rows
 
 
 def oversample(
@@ -29,7 +29,8 @@ def oversample(
     quotas = counts.withColumn("q", F.lit(most) % F.col("n"))
     picked = pick_lowest(df, key, quotas, label, small=small, seed=seed, into="_extra")
     whole = counts.select("_class", F.expr(f"{most} DIV n").alias("_whole"))
-    copies = attach(picked.withColumn("_class", class_of(label)), whole, small).withColumn(
+    classed = picked.withColumn("_class", class_of(label))
+    copies = attach(classed, whole, small, heavy=heavy_classes(counts, small)).withColumn(
         "_times", F.col("_whole") + F.col("_extra").cast("long")
     )
     repeated = repeat_rows(copies, "_times", copy_col, most // least + 1)

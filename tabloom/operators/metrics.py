@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.labels import extract_label
-from tabloom.session import SMALL_ROWS, local_table, settle
+from tabloom.operators.positions import positions
+from tabloom.session import local_table, settle
 from tabloom.spec import LabelMap
 
 # Marker of an unreadable prediction, and the two error messages.
@@ -58,14 +59,12 @@ def label_universe(scored: DataFrame, mapping: LabelMap) -> DataFrame:
 
 
 def _inferred_universe(truths: DataFrame) -> DataFrame:
-    """Universe of splits without a mapping, from the distinct truths (class level)."""
+    """Universe of splits without a mapping, from the distinct truths; numbered by ranges, however many there are."""
     marker = truths.select("split").distinct().withColumn("label", F.lit(UNPARSED))
     extra = marker.join(truths, ["split", "label"], "left_anti").withColumn("_last", F.lit(1))
-    order = Window.partitionBy("split").orderBy("_last", "label")
-    return (
-        truths.withColumn("_last", F.lit(0)).unionByName(extra)
-        .select("split", (F.row_number().over(order) - 1).alias("pos"), "label")
-    )
+    listed = truths.withColumn("_last", F.lit(0)).unionByName(extra)
+    placed = positions(listed, ["_last", "label"], "pos", within=["split"])
+    return placed.select("split", F.col("pos").cast("int").alias("pos"), "label")
 
 
 def pair_counts(scored: DataFrame, mapping: LabelMap) -> DataFrame:
@@ -185,7 +184,7 @@ def confusion_matrix(counts: DataFrame, universe: DataFrame, dense: bool = True)
     cells = counts.filter(_valid()).select("split", "truth", "pred", "n")
     if not dense:
         return cells
-    table, _ = settle(universe, SMALL_ROWS)
+    table, _ = settle(universe)
     columns = table.groupBy("split").agg(F.collect_list("label").alias("_preds"))
     grid = (
         table.join(columns, "split")
@@ -233,21 +232,22 @@ def evaluate(
     mapping: LabelMap,
     splits: Sequence[str] | None = None,
     binary_f1_on: str = "universe",
-    dense: bool = True,
+    dense: bool | None = None,
 ) -> dict[str, DataFrame]:
     """All metric tables of all splits from one pass over the predictions.
 
     ``splits`` names the splits that were handed in: one without any row gets an
-    error row; splits not handed in are absent.
+    error row; splits not handed in are absent. ``dense`` (default: if there is a mapping) gives the
+    zero cells of the confusion matrix too, labels x labels of them; a universe inferred from free text may be of any size.
     """
     spark = predictions.sparkSession
     pairs, _ = settle(_pairs(_read_labels(predictions, mapping), mapping))
     counts = pairs.filter("labelled").drop("labelled")
-    present = [r["split"] for r in pairs.select("split").distinct().collect()]
+    present = pairs.select("split").distinct()
     known = universe_labels(mapping)
     if known:
-        rows = [(split, i, v) for split in present for i, v in enumerate(known)]
-        universe = local_table(spark, rows, "split string, pos int, label string")
+        table = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(v).alias("label")) for i, v in enumerate(known)])
+        universe = present.select("split", F.inline(table))
     else:
         universe = _inferred_universe(
             counts.filter("truth IS NOT NULL").select("split", F.col("truth").alias("label")).distinct()
@@ -259,7 +259,7 @@ def evaluate(
     binary = binary_f1(scores, binary_f1_on)
     averages = f1_scores(scores).join(binary, "split", "left_anti")
     summary = checked.join(binary, "split", "left").join(averages, "split", "left")
-    listed = local_table(spark, [(s,) for s in (present if splits is None else splits)], "split string")
+    listed = present if splits is None else local_table(spark, [(s,) for s in splits], "split string")
     summary = (
         listed.join(summary, "split", "left")
         .withColumn("error", F.when(F.col("total").isNull(), NO_LABELS).otherwise(F.col("error")))
@@ -268,6 +268,6 @@ def evaluate(
     return {
         "summary": summary,
         "labels": universe,
-        "confusion": confusion_matrix(counts, universe.join(usable, "split", "left_semi"), dense),
+        "confusion": confusion_matrix(counts, universe.join(usable, "split", "left_semi"), bool(known) if dense is None else dense),
         "report": classification_report(scores),
     }

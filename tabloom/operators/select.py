@@ -31,6 +31,8 @@ from tabloom.session import settle
 HEX_STEP = 3
 HASH_DIGITS = 32
 RESOLVE_ROWS = 100_000
+# A class with more than one row in so many is heavy.
+HEAVY_SHARES = 1_000
 # Rows repeated more often than this are spread over the cluster first.
 NARROW_COPIES = 16
 
@@ -40,9 +42,31 @@ def class_counts(df: DataFrame, label: str | None) -> tuple[DataFrame, bool]:
     return settle(df.groupBy(class_of(label).alias("_class")).agg(F.count("*").alias("n")))
 
 
-def attach(df: DataFrame, table: DataFrame, small: bool, how: str = "left") -> DataFrame:
-    """Join a per-class table on ``_class``; broadcast only when it is small."""
-    return df.join(F.broadcast(table) if small else table, "_class", how)
+def heavy_classes(counts: DataFrame, small: bool) -> DataFrame | None:
+    """Of a class table too large to broadcast, the classes with more than 1 / ``HEAVY_SHARES`` of all rows: ``HEAVY_SHARES``
+    classes at most. None if there is none, or if all classes may be broadcast."""
+    if small:
+        return None
+    total = counts.agg(F.sum("n")).first()[0]
+    names = counts.filter(F.col("n") * HEAVY_SHARES > F.lit(total)).select("_class")
+    table, bounded = settle(names)
+    return table if bounded and not table.isEmpty() else None
+
+
+def attach(df: DataFrame, table: DataFrame, small: bool, how: str = "left", heavy: DataFrame | None = None) -> DataFrame:
+    """Join a per-class table on ``_class``.
+
+    A small table is broadcast. Otherwise the rows of ``heavy`` classes meet a broadcast of just these classes, so they
+    stay where they are and no class fills a task, and the others are joined by shuffle.
+    """
+    if small:
+        return df.join(F.broadcast(table), "_class", how)
+    if heavy is None:
+        return df.join(table, "_class", how)
+    few = F.broadcast(heavy)
+    staying = df.join(few, "_class", "left_semi").join(F.broadcast(table.join(few, "_class", "left_semi")), "_class", how)
+    moving = df.join(few, "_class", "left_anti").join(table.join(few, "_class", "left_anti"), "_class", how)
+    return staying.unionByName(moving)
 
 
 def repeat_rows(df: DataFrame, times: str, index: str, most: int) -> DataFrame:
@@ -89,28 +113,32 @@ def _crossing(counts: DataFrame, by: str, need: str) -> DataFrame:
     )
 
 
-def _cut_hashes(slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: int) -> tuple[DataFrame, bool]:
+def _cut_hashes(
+    slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: int, heavy: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """``(_class, _cut, _take, _tied)``: hash at the quota, rows to take at it, rows on it."""
-    state = quotas.select("_class", F.lit("").alias("_prefix"), F.col("q").alias("_need"), F.col("n").alias("_left"))
+    state = quotas.select("_class", F.lit("").alias("_prefix"), F.col("q").alias("_need"), F.col("n").alias("_left"), F.lit(False).alias("_single"))
     digits = 0
     while digits + HEX_STEP <= HASH_DIGITS:
-        most, together = state.agg(F.max("_left"), F.sum("_left")).first()
+        # Copies of one key cannot be told apart by more digits: such a bucket needs no further round.
+        most, together = state.filter("NOT _single").agg(F.max("_left"), F.sum("_left")).first()
         if most is None or (most <= resolve_rows and together <= resolve_rows * _partitions(slim)):
             break
         digits += HEX_STEP
-        inside = _inside(slim, state, small)
+        inside = _inside(slim, state, small, heavy)
         buckets = inside.groupBy("_class", "_need", F.substring("_h", 1, digits).alias("_bucket")).agg(
-            F.count("*").alias("n")
+            F.count("*").alias("n"), F.min("_h").alias("_least"), F.max("_h").alias("_most")
         )
         narrowed = _crossing(buckets, "_bucket", "_need").select(
             "_class",
             F.col("_bucket").alias("_prefix"),
             (F.col("_need") - F.col("_before")).alias("_need"),
             F.col("n").alias("_left"),
+            (F.col("_least") == F.col("_most")).alias("_single"),
         )
         state, small = settle(narrowed)
 
-    hashes = _inside(slim, state, small).groupBy("_class", "_need", "_h").agg(F.count("*").alias("n"))
+    hashes = _inside(slim, state, small, heavy).groupBy("_class", "_need", "_h").agg(F.count("*").alias("n"))
     cuts = _crossing(hashes, "_h", "_need").select(
         "_class",
         F.col("_h").alias("_cut"),
@@ -120,8 +148,8 @@ def _cut_hashes(slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: i
     return settle(cuts)
 
 
-def _inside(slim: DataFrame, state: DataFrame, small: bool) -> DataFrame:
-    joined = attach(slim, state, small, "inner")
+def _inside(slim: DataFrame, state: DataFrame, small: bool, heavy: DataFrame | None) -> DataFrame:
+    joined = attach(slim, state, small, "inner", heavy)
     return joined.filter(F.startswith("_h", "_prefix"))
 
 
@@ -144,12 +172,13 @@ def pick_lowest(
     """
     columns = [quoted(c) for c in df.columns]
     work = df.withColumns({"_class": class_of(label), "_h": row_hash(key, seed)})
+    heavy = heavy_classes(quotas, small)
     cuts, cuts_small = _cut_hashes(
-        work.select("_class", "_h"), quotas.filter("q > 0 AND q < n"), small, resolve_rows
+        work.select("_class", "_h"), quotas.filter("q > 0 AND q < n"), small, resolve_rows, heavy
     )
     rules = quotas.join(cuts, "_class", "left").select("_class", "n", "q", "_cut", "_take", "_tied")
     rules, rules_small = settle(rules)
-    joined = attach(work, rules, rules_small)
+    joined = attach(work, rules, rules_small, heavy=heavy)
     tie_taken = F.col("_take") == F.col("_tied")
     basic = (
         F.when(F.col("q") >= F.col("n"), True)
@@ -168,12 +197,12 @@ def pick_lowest(
         .withColumn("_h", content_hash(df.columns, seed))
         .select("_class", "_h")
     )
-    inner, _ = _cut_hashes(tied, tie_quotas, cuts_small, resolve_rows)
+    inner, _ = _cut_hashes(tied, tie_quotas, cuts_small, resolve_rows, heavy)
     inner = inner.select(
         "_class", F.col("_cut").alias("_cut2"), F.col("_take").alias("_take2"), F.col("_tied").alias("_tied2")
     )
     most = inner.agg(F.max("_tied2")).first()[0]
-    second = attach(joined.withColumn("_same", same_key), inner, cuts_small).withColumn(
+    second = attach(joined.withColumn("_same", same_key), inner, cuts_small, heavy=heavy).withColumn(
         "_h2", F.when(F.col("_same"), content_hash(df.columns, seed))
     )
     split_copies = F.coalesce(

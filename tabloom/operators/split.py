@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.keys import class_of
+from tabloom.operators.positions import positions
+from tabloom.operators.profile import with_totals
 from tabloom.operators.select import RESOLVE_ROWS, class_counts, pick_lowest
 from tabloom.session import local_table, settle
 
@@ -31,11 +33,11 @@ def split_sizes(n: int, ratio: float) -> tuple[int, int]:
     return n - n_test, n_test
 
 
-def stratified_quotas(counts: DataFrame, n_train: int, total: int) -> DataFrame:
+def stratified_quotas(counts: DataFrame, n_train: int, total: int, small: bool = True) -> DataFrame:
     """``(_class, n, q)`` with q test rows per class.
 
     Training rows are shared out by whole parts first, then by largest remainder
-    (ties by class name); integers throughout. The window sees one row per class.
+    (ties by class name); integers throughout. A class table that is not ``small`` is ordered by ranges.
     """
     share = (F.col("n").cast("decimal(38,0)") * F.lit(n_train)).alias("share")
     parts = counts.select("_class", "n", share).select(
@@ -44,10 +46,14 @@ def stratified_quotas(counts: DataFrame, n_train: int, total: int) -> DataFrame:
         F.expr(f"CAST(share DIV {total} AS BIGINT)").alias("floor"),
         (F.col("share") % F.lit(total)).alias("rest"),
     )
-    order = F.row_number().over(Window.orderBy(F.desc("rest"), "_class"))
     missing = n_train - parts.agg(F.sum("floor")).first()[0]
-    extra = F.when(order <= missing, 1).otherwise(0)
-    return parts.select("_class", "n", (F.col("n") - F.col("floor") - extra).alias("q"))
+    order = [F.desc("rest"), F.asc("_class")]
+    if small:
+        placed = parts.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        placed = positions(parts, order, "_at")
+    extra = F.when(F.col("_at") < missing, 1).otherwise(0)
+    return placed.select("_class", "n", (F.col("n") - F.col("floor") - extra).alias("q"))
 
 
 def _apply(df, key, quotas, label, seed, small, resolve_rows):
@@ -79,7 +85,7 @@ def stratified_split(
         raise StratificationError(
             f"{n_classes} classes, smallest {least}, train {n_train}, test {n_test}"
         )
-    quotas, small = settle(stratified_quotas(counts, n_train, total))
+    quotas, small = settle(stratified_quotas(counts, n_train, total, small))
     return _apply(df, key, quotas, label, seed, small, resolve_rows)
 
 
@@ -125,8 +131,7 @@ def assign_split(train: DataFrame, test: DataFrame) -> DataFrame:
 def split_report(df: DataFrame, label: str) -> DataFrame:
     """Rows and percent per split and class."""
     counts = df.groupBy("split", class_of(label).alias("label")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("split"))
-    return counts.withColumn("pct", F.try_divide(F.col("n") * F.lit(100.0), total))
+    return with_totals(counts, "split").withColumn("pct", F.try_divide(F.col("n") * F.lit(100.0), F.col("total"))).drop("total")
 
 
 def holdout(

@@ -15,23 +15,24 @@ from tabloom.spec import LabelMap
 
 
 def score_files(
-    spark: SparkSession, files: Mapping[str, str], mapping: LabelMap, out: str | None = None, damaged: str = "fail"
+    spark: SparkSession, files: Mapping[str, str], mapping: LabelMap, out: str | None = None, damaged: str = "fail",
+    dense: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Evaluate prediction files, ``{split: path}``, in one pass; optionally write the tables.
 
     A damaged line fails the job. With ``damaged="report"`` the metrics cover the other
-    lines, and the summary counts the damaged ones per split as ``n_damaged``.
+    lines, and the summary counts the damaged ones per split as ``n_damaged``. ``dense``: see ``evaluate``.
     """
     if not files:
         raise ValueError("no prediction files")
     parts = [read_predictions(spark, path, name, damaged) for name, path in files.items()]
     lines = reduce(DataFrame.unionByName, parts)
     if damaged == "report":
-        tables = evaluate(lines.filter("NOT damaged").drop("damaged"), mapping, list(files))
+        tables = evaluate(lines.filter("NOT damaged").drop("damaged"), mapping, list(files), dense=dense)
         counts = lines.groupBy("split").agg(F.count_if("damaged").alias("n_damaged"))
         tables["summary"] = tables["summary"].join(counts, "split", "left").fillna(0, ["n_damaged"])
     else:
-        tables = evaluate(lines, mapping, list(files))
+        tables = evaluate(lines, mapping, list(files), dense=dense)
     if out is not None:
         write_metrics(tables, out)
     return tables

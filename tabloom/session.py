@@ -7,12 +7,14 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Per-class and per-column tables up to this many rows are held by the driver
-# and broadcast (well under 10 MB); larger ones stay distributed.
+# Per-class and per-column tables up to this many rows, with texts up to this many characters, are held by
+# the driver and broadcast; larger ones stay distributed.
 SMALL_ROWS = 20_000
+SMALL_CHARS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,16 +47,22 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.S
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
-def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+def settle(df: DataFrame, limit: int = SMALL_ROWS, most_chars: int = SMALL_CHARS) -> tuple[DataFrame, bool]:
     """Compute a per-group table once and cut its lineage.
 
-    Returns ``(table, small)``. A small table is rebuilt from driver rows and may
-    be broadcast; a large one is checkpointed to the shared folder and must be
-    joined by shuffle.
+    Returns ``(table, small)``. A table of at most ``limit`` rows whose texts have at most ``most_chars`` characters each is
+    small: it is rebuilt from driver rows and may be broadcast. Any other is written to the shared folder as
+    Parquet, read back, and must be joined by shuffle. Texts reach the driver cut, so what it takes is bounded in bytes too.
     """
     spark = df.sparkSession
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return local_table(spark, [tuple(r) for r in rows], df.schema), True
-    shared_dir(spark)
-    return df.checkpoint(), False
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for f in df.schema)
+    if not nested:
+        cut = [F.substring(F.col(f"`{f.name}`"), 1, most_chars + 1).alias(f.name) if f.name in texts else F.col(f"`{f.name}`") for f in df.schema]
+        rows = df.select(*cut).limit(limit + 1).collect()
+        places = [i for i, f in enumerate(df.schema) if f.name in texts]
+        if len(rows) <= limit and not any(r[i] is not None and len(r[i]) > most_chars for r in rows for i in places):
+            return local_table(spark, [tuple(r) for r in rows], df.schema), True
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), False
