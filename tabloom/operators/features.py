@@ -13,10 +13,11 @@ from tabloom.functions.text import plain_sql, quoted
 from tabloom.operators.columns import candidates, drop_missing_target
 from tabloom.operators.profile import is_text_like
 from tabloom.operators.quantiles import long_values, medians, quantiles
-from tabloom.operators.select import attach
-from tabloom.session import local_table, settle
+from tabloom.operators.positions import positions
+from tabloom.operators.select import attach, heavy_classes
+from tabloom.session import local_table, scratch_path, settle
 
-# Gates and limits of the ensemble.
+# Gates and limits of the ensemble, defaults of its arguments.
 HIGH_DIMENSION = 50
 MAX_SELECTED = 100
 VARIANCE_THRESHOLD = 0.01
@@ -87,15 +88,17 @@ def _varied(variances: Mapping[str, float | None], columns: Sequence[str], thres
 
 
 def encode_label(df: DataFrame, y: str, into: str = "y_code") -> DataFrame:
-    """Classes as 0..k-1 in text order. The window sees one row per class."""
-    text = F.col(f"`{y}`").cast("string")
-    codes = (
-        df.select(text.alias("_class")).distinct().filter("_class IS NOT NULL")
-        .withColumn(into, (F.row_number().over(Window.orderBy("_class")) - 1).cast("int"))
-    )
-    table, small = settle(codes)
-    joined = attach(df.withColumn("_class", text), table, small)
-    return joined.select(*[f"`{c}`" for c in df.columns], into)
+    """Classes as 0..k-1 in text order; a missing class has no code. Any number of classes: they are numbered by ranges."""
+    text = F.col(quoted(y)).cast("string")
+    classes = df.groupBy(text.alias("_class")).agg(F.count("*").alias("n")).filter("_class IS NOT NULL")
+    counts, small = settle(classes)
+    if small:
+        # At most SMALL_ROWS rows, held by the driver.
+        codes = counts.withColumn(into, (F.row_number().over(Window.orderBy("_class")) - 1).cast("int"))
+    else:
+        codes = positions(counts, ["_class"], into).withColumn(into, F.col(into).cast("int"))
+    joined = attach(df.withColumn("_class", text), codes.drop("n"), small, heavy=heavy_classes(counts, small))
+    return joined.select(*[quoted(c) for c in df.columns], into)
 
 
 def ranking(spark, method: str, scores: Mapping[str, float | None]) -> DataFrame:
@@ -224,25 +227,32 @@ def select_features(
     threshold: float = VARIANCE_THRESHOLD,
     n_trees: int = 100,
     exclude: Sequence[str] = (),
+    min_columns: int = HIGH_DIMENSION,
+    min_numeric: int = HIGH_DIMENSION,
+    n_select: int | None = None,
 ) -> Selection:
     """Ensemble feature selection of wide tables.
 
-    The first gate reads the schema only: below 50 columns in total nothing runs.
-    Below 50 numeric candidates all candidates are kept unranked. ``exclude`` names
-    columns (row keys) that are not features.
+    The first gate reads the schema only: below ``min_columns`` columns in total nothing runs.
+    Below ``min_numeric`` numeric candidates all candidates are kept unranked. Of the numeric ones ``n_select`` stay, by
+    default half of them and at most ``MAX_SELECTED``. ``exclude`` names columns (row keys) that are not features.
+
+    The imputed table is written to the shared folder once, and the rankings read it there.
     """
     table = df.drop(*exclude)
-    if len(table.columns) < HIGH_DIMENSION:
+    if len(table.columns) < min_columns:
         return Selection("not_run", ())
     found = candidates(table, target)
     names = [c.column for c in found]
     numeric = [c.column for c in found if c.numeric]
-    if len(numeric) < HIGH_DIMENSION:
+    if len(numeric) < min_numeric:
         return Selection("unranked", tuple(names))
 
     extra = [k for k in key if k not in numeric]
     rows = drop_missing_target(df, target).select(*[f"`{c}`" for c in [*extra, target, *numeric]])
-    filled = impute_median(rows, numeric)
+    path = scratch_path(df.sparkSession, "imputed")
+    impute_median(rows, numeric).write.parquet(path)
+    filled = df.sparkSession.read.parquet(path)
     # Sizes, variances and correlations share one pass.
     coded, code = _coded(filled, target)
     sizes, variances, correlations = column_stats(coded, numeric, ["count(v)", VARIANCE, CORRELATION], code)
@@ -258,7 +268,7 @@ def select_features(
         parts.append(rank_forest(filled, varied, target, task, key=key, n_trees=n_trees))
     # features x methods rows, settled so the forest is not fitted again.
     rankings, _ = settle(reduce(DataFrame.unionByName, parts))
-    ranked, _ = settle(aggregate_ranks(rankings, min(MAX_SELECTED, len(numeric) // 2)))
+    ranked, _ = settle(aggregate_ranks(rankings, min(MAX_SELECTED, len(numeric) // 2) if n_select is None else n_select))
     top = [r["feature"] for r in sorted(ranked.collect(), key=lambda r: r["position"])]
     selected = [n for n in names if n not in numeric] + top
     dropped = [n for n in names if n not in set(selected)]

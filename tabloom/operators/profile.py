@@ -25,6 +25,9 @@ ANY_DISTINCT_LIMIT = 10
 FEW_DISTINCT_SKETCH = 100
 SKETCH_LG_K = 14
 SKETCH_RSD = 0.01
+# Size of a quantile sketch, and the rank error that it keeps with 99 % confidence, as a share of the values.
+SKETCH_K = 4096
+SKETCH_RANK_ERROR = 0.002
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -54,6 +57,12 @@ def _cell(field: T.StructField) -> str:
     return f"CAST({c} AS STRING)"
 
 
+def cells_as_text(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The values of columns as text, in SQL, as value counts show them."""
+    double = lambda f: f"CAST({plain_sql(f.name)} + 0D AS STRING)"
+    return [double(f) if isinstance(f.dataType, T.DoubleType) else _cell(f) for f in (df.schema[c] for c in columns)]
+
+
 def _fields(df: DataFrame, columns: Iterable[str] | None) -> list[T.StructField]:
     names = df.columns if columns is None else list(columns)
     return [df.schema[n] for n in names]
@@ -151,11 +160,12 @@ def numeric_columns(df: DataFrame, max_cols: int | None = None) -> list[str]:
     return [f.name for f in df.schema if is_numeric(f.dataType)][:max_cols]
 
 
-def numeric_summary(df: DataFrame, max_cols: int | None = None, digits: int = 4) -> DataFrame:
+def numeric_summary(df: DataFrame, max_cols: int | None = None, digits: int = 4, approximate: bool = False) -> DataFrame:
     """Count, mean, sample standard deviation, minimum, quartiles and maximum.
 
     One row per numeric column (all, or the first ``max_cols``); moments in one pass,
-    quartiles exact by interpolation.
+    quartiles exact by interpolation. ``approximate`` reads quartiles off mergeable sketches in the same pass over all columns: values of the
+    column whose rank is within ``SKETCH_RANK_ERROR`` of the wanted one, as a share of its values.
     """
     names = numeric_columns(df, max_cols)
     spark = df.sparkSession
@@ -165,16 +175,26 @@ def numeric_summary(df: DataFrame, max_cols: int | None = None, digits: int = 4)
     )
     if not names:
         return local_table(spark, [], schema)
+    sketch = f", kll_sketch_agg_double({{v}}, {SKETCH_K}) AS sketch" if approximate else ""
     moments = df.agg(*[
         F.expr(
-            f"struct(count({v}) AS count, avg({v}) AS mean, stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max)"
-        )
-        for v in map(plain_sql, names)
-    ]).first()
-    quartiles = quantiles(df, names, [0.25, 0.5, 0.75], {n: moments[i]["count"] for i, n in enumerate(names)})
+            f"struct(count({v}) AS count, avg({v}) AS mean, stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max{sketch.format(v=v)})"
+        ).alias(f"m{i}")
+        for i, v in enumerate(map(plain_sql, names))
+    ])
+    if approximate:
+        # A column without values has an empty sketch.
+        read = "IF(m{i}.count > 0, kll_sketch_get_quantile_double(m{i}.sketch, array(0.25D, 0.5D, 0.75D)), array(NULL, NULL, NULL))"
+        found = moments.selectExpr(*[
+            f"struct(m{i}.count, m{i}.mean, m{i}.std, m{i}.min, m{i}.max, {read.format(i=i)} AS quartiles) AS m{i}" for i in range(len(names))
+        ]).first()
+        quartiles = {n: found[i]["quartiles"] for i, n in enumerate(names)}
+    else:
+        found = moments.first()
+        quartiles = quantiles(df, names, [0.25, 0.5, 0.75], {n: found[i]["count"] for i, n in enumerate(names)})
     rows = [
-        (i, n, m["count"], m["mean"], m["std"], m["min"], *quartiles[n], m["max"])
-        for i, (n, m) in enumerate(zip(names, moments))
+        (i, n, m["count"], m["mean"], m["std"], m["min"], *(quartiles[n] or [None] * 3), m["max"])
+        for i, (n, m) in enumerate(zip(names, found))
     ]
     table = local_table(spark, rows, schema)
     rounded = {c: F.round(c, digits) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")}
@@ -258,7 +278,7 @@ def profile(
 
     The column table is settled, since the categorical rule and the choice of value
     counts read it; value counts then touch low-cardinality columns only. The
-    approximate form sketches distinct counts and shuffles no values for them.
+    approximate form sketches distinct counts and quartiles and shuffles no values for them.
     """
     exact = column_profile(df, None, approximate).drop("n_more")
     described, _ = settle(exact)
@@ -269,7 +289,7 @@ def profile(
     return {
         "shape": table_shape(df),
         "columns": shown,
-        "numeric": numeric_summary(df, max_numeric),
+        "numeric": numeric_summary(df, max_numeric, approximate=approximate),
         "categorical": categorical,
         "value_counts": value_counts(df, [r["column"] for r in chosen]),
         "head": head_sample(df, order_by, max_cols=max_cols),
@@ -287,6 +307,17 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("pct", F.try_divide(F.col("n") * F.lit(100.0), total))
 
 
+def with_totals(counts: DataFrame, group: str) -> DataFrame:
+    """Class counts with the ``total`` of their group.
+
+    Totals are summed apart, per task first, and met by a join that Spark turns into a broadcast when they are few; a
+    window would bring all classes of a group into one task.
+    """
+    totals = counts.groupBy(F.col(quoted(group)).alias("_group")).agg(F.sum("n").alias("total"))
+    met = counts.join(totals, F.col(quoted(group)).eqNullSafe(F.col("_group")))
+    return met.select(*[quoted(c) for c in counts.columns], "total")
+
+
 def quality_notes(df: DataFrame, target: str) -> DataFrame:
     """Missing share per column and the imbalance ratio of the target.
 
