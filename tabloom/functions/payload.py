@@ -76,39 +76,39 @@ def repair_text(text: str) -> str:
 
     One scan from left to right over any number of scopes. Each open scope knows its last
     comma. A colon inside an array shows that the string before it is a key of the enclosing
-    object, so the array ended before that comma. Text that is valid, or that has nothing to
+    object, so all arrays inside that object ended before that comma. Text that is valid, or that has nothing to
     close, is given back as it is.
     """
     try:
         json.loads(text)
         return text
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
     out: list[str] = []
     scopes: list[list] = []
-    at, after_string = 0, False
+    at, after_string, objects = 0, False, 0
     for token in _TOKEN.finditer(text):
         mark = token.group()
         out.append(text[at:token.start()])
         at = token.end()
         if mark in _ENDS:
             scopes.append([mark, None])
+            objects += mark == "{"
         elif mark in "]}":
             if scopes and _ENDS[scopes[-1][0]] == mark:
                 scopes.pop()
+                objects -= mark == "}"
         elif mark == ",":
             if scopes:
                 scopes[-1][1] = len(out)
-        elif mark == ":" and after_string:
-            while scopes and scopes[-1][0] == "[" and any(s[0] == "{" for s in scopes):
-                comma = scopes[-1][1]
-                if comma is None:
-                    break
-                # The comma moves behind the bracket and now belongs to the scope outside.
+        elif mark == ":" and after_string and objects and scopes[-1][0] == "[" and scopes[-1][1] is not None:
+            comma, closed = scopes[-1][1], 0
+            while scopes[-1][0] == "[":
                 scopes.pop()
-                out[comma] = "],"
-                scopes[-1][1] = comma
-                break
+                closed += 1
+            # The comma moves behind the brackets and now belongs to the object.
+            out[comma] = "]" * closed + ","
+            scopes[-1][1] = comma
         after_string = mark[0] == '"'
         out.append(mark)
     out.append(text[at:])

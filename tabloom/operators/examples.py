@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.keys import class_of
 from tabloom.functions.render import as_text, render_input
-from tabloom.functions.text import WHITESPACE, as_plain, strip
+from tabloom.functions.text import WHITESPACE, as_plain, quoted, strip
 from tabloom.operators.columns import drop_missing_target
-from tabloom.operators.profile import is_numeric
+from tabloom.operators.profile import is_numeric, with_totals
 from tabloom.operators.quantiles import medians
+from tabloom.session import local_table
 from tabloom.spec import LITERAL_MAP_LIMIT, LabelMap, PrepSpec
 
 # Fixed value: default length limit of an example, in tokens.
@@ -25,30 +26,37 @@ def _fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 
+def _with_label(df: DataFrame, target: str, mapping: LabelMap, into: str) -> DataFrame:
+    """Adds the label of the raw target value, null outside the mapping."""
+    raw = F.col(quoted(target)).cast("string")
+    if not len(mapping):
+        return df.withColumn(into, raw)
+    dtype = df.schema[target].dataType
+    if _fractional(dtype):
+        # Numbers are compared as numbers: their spelling as text differs between writers.
+        key, pairs, kind = as_plain(F.col(quoted(target))), list(mapping.by_number(isinstance(dtype, T.FloatType)).items()), "double"
+    else:
+        key, pairs, kind = raw, mapping.pairs, "string"
+    if not pairs:
+        return df.withColumn(into, F.lit(None).cast("string"))
+    if len(pairs) <= LITERAL_MAP_LIMIT:
+        literals = [x for value, label in pairs for x in (F.lit(value).cast(kind), F.lit(label))]
+        return df.withColumn(into, F.try_element_at(F.create_map(*literals), key))
+    # A local relation of known size: the optimizer broadcasts it below its limit only.
+    table = local_table(df.sparkSession, pairs, f"_raw {kind}, _mapped string")
+    return df.join(table, key == F.col("_raw"), "left").withColumn(into, F.col("_mapped")).drop("_raw", "_mapped")
+
+
 def map_target(
     df: DataFrame, target: str, mapping: LabelMap, unmapped: str = "drop", into: str = "label"
 ) -> DataFrame:
-    """Adds the label of the raw target value.
+    """Adds the label of the raw target value; rows without a target are dropped.
 
-    Without a mapping the raw text is the label. Whole numbers held as fractions
-    (an integer column that had gaps) match keys with and without the ``.0``,
-    whatever the length of the mapping.
+    Without a mapping the raw text is the label. A target held as fractions is compared with the keys as numbers: an
+    integer column that had gaps matches keys with and without the ``.0``, however large and whatever the length of the mapping.
     """
-    raw = F.col(f"`{target}`").cast("string")
-    present = drop_missing_target(df, target)
-    if not len(mapping):
-        return present.withColumn(into, raw)
-    key = raw
-    if _fractional(df.schema[target].dataType):
-        value = F.col(f"`{target}`")
-        key = F.coalesce(F.when(value == F.floor(value), value.try_cast("bigint").cast("string")), raw)
-        mapping = mapping.for_fractions()
-    if len(mapping) <= LITERAL_MAP_LIMIT:
-        labelled = present.withColumn(into, mapping.lookup(key))
-    else:
-        # A local relation of known size: the optimizer broadcasts it below its limit only.
-        table = mapping.as_table(df.sparkSession).select(F.col("raw").alias("_raw"), F.col("label").alias(into))
-        labelled = present.join(table, key == F.col("_raw"), "left").drop("_raw")
+    raw = F.col(quoted(target)).cast("string")
+    labelled = _with_label(drop_missing_target(df, target), target, mapping, into)
     if unmapped == "drop":
         return labelled.filter(F.col(into).isNotNull())
     if unmapped == "keep":
@@ -118,10 +126,26 @@ def build_examples(df: DataFrame, spec: PrepSpec, keep: Sequence[str] | None = N
 def preparation_summary(examples: DataFrame, set_col: str = "set", label: str = "output") -> DataFrame:
     """Per set and class: examples, the total of the set, and percent."""
     counts = examples.groupBy(set_col, class_of(label).alias("label")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(set_col))
-    return counts.withColumn("total", total).withColumn(
-        "pct", F.try_divide(F.col("n") * F.lit(100.0), F.col("total"))
-    )
+    return with_totals(counts, set_col).withColumn("pct", F.try_divide(F.col("n") * F.lit(100.0), F.col("total")))
+
+
+def preparation_dropped(df: DataFrame, spec: PrepSpec) -> DataFrame:
+    """``(reason, n_rows, pct)``: rows of a table that become no example, and those that do.
+
+    ``missing_target``: the target is null or NaN; ``no_label``: the mapping lacks its value and ``spec.unmapped`` is "drop";
+    ``kept``. One pass; an empty table gives zeros and a null percent.
+    """
+    value = F.col(quoted(spec.target))
+    present = (as_plain(value) if _fractional(df.schema[spec.target].dataType) else value).isNotNull()
+    labelled = _with_label(df.select(quoted(spec.target)), spec.target, spec.mapping, "_label")
+    lost = present & F.col("_label").isNull() if spec.unmapped == "drop" else F.lit(False)
+    counts = labelled.agg(
+        F.count("*").alias("rows"), F.count_if(~present).alias("missing_target"), F.count_if(lost).alias("no_label"))
+    reasons = {"missing_target": F.col("missing_target"), "no_label": F.col("no_label"),
+               "kept": F.col("rows") - F.col("missing_target") - F.col("no_label")}
+    listed = F.array(*[F.struct(F.lit(r).alias("reason"), n.alias("n_rows")) for r, n in reasons.items()])
+    return counts.select("rows", F.inline(listed)).select(
+        "reason", "n_rows", F.try_divide(F.col("n_rows") * F.lit(100.0), F.col("rows")).alias("pct"))
 
 
 def token_count(*texts: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from math import isfinite
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tabloom.session import local_table
@@ -20,8 +21,15 @@ EXAMPLE_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in EXAMPLE
 # keeps the projection narrow; longer ones become a small joined table.
 LITERAL_MAP_LIMIT = 256
 
-# Fixed value: a number written with a point or an exponent.
-_FRACTION = re.compile(r"[+-]?\d+(\.\d*([eE][+-]?\d+)?|[eE][+-]?\d+)")
+# Numbers written with a point or an exponent, whole ones, and those beyond all.
+_FRACTION = re.compile(r"[+-]?(\d+(\.\d*([eE][+-]?\d+)?|[eE][+-]?\d+)|\.\d+([eE][+-]?\d+)?)")
+_WHOLE = re.compile(r"[+-]?\d+")
+_INFINITE = re.compile(r"[+-]?inf(inity)?", re.IGNORECASE)
+
+
+def _held(value: float, single: bool) -> float:
+    """The number as a 32-bit or 64-bit fraction holds it; -0.0 is 0.0."""
+    return (struct.unpack("f", struct.pack("f", value))[0] if single else value) + 0.0
 
 
 class LabelMap:
@@ -50,31 +58,28 @@ class LabelMap:
     def labels(self) -> list[str]:
         return list(dict.fromkeys(self._pairs.values()))
 
-    def for_fractions(self) -> "LabelMap":
-        """The mapping for a fractional target: whole numbers keyed without their point.
+    def by_number(self, single: bool = False) -> dict[float, str]:
+        """The labels of keys that denote a number, by that number; for a target held as fraction (``single``: of 32 bits).
 
-        ``1``, ``1.0`` and ``1e0`` are one number. If several are keyed, the one
-        spelled as a fraction wins, as the target itself is spelled that way.
+        ``1``, ``1.0`` and ``1e0`` are one number. If several are keyed, the first one spelled as a fraction wins, as the
+        target itself is spelled that way. A whole key that no fraction can hold exactly matches nothing.
         """
-        whole, rest = {}, {}
+        plain, spelled = {}, {}
         for raw, label in self._pairs.items():
-            if _FRACTION.fullmatch(raw) and float(raw).is_integer():
-                whole.setdefault(str(int(float(raw))), label)
-            else:
-                rest[raw] = label
-        return LabelMap({**rest, **whole})
+            if _FRACTION.fullmatch(raw):
+                spelled.setdefault(_held(float(raw), single), label)
+            elif _WHOLE.fullmatch(raw):
+                value = _held(float(raw), single)
+                if isfinite(value) and int(value) == int(raw):
+                    plain[value] = label
+            elif _INFINITE.fullmatch(raw):
+                plain[float(raw)] = label
+        return {**plain, **spelled}
 
     def as_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, raw, label) for i, (raw, label) in enumerate(self.pairs)]
         return local_table(spark, rows, "pos int, raw string, label string")
 
-    def lookup(self, raw: Column) -> Column:
-        """Label for a raw value as one expression; null where unmapped."""
-        if not self._pairs:
-            return F.lit(None).cast("string")
-        literals = [F.lit(x) for pair in self.pairs for x in pair]
-        return F.try_element_at(F.create_map(*literals), raw.cast("string"))
-
 
 @dataclass(frozen=True)
 class PrepSpec:

@@ -1,9 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.functions.labels import CHAIN_LIMIT, extract_label
+from tabloom.functions.labels import CHAIN_LIMIT, LabelFinder, extract_label
 from tabloom.functions.notes import parse_overrides
 from tabloom.functions.payload import extract_json_payload, is_one_json_object, parse_payload, repair_json, repair_text
 from tabloom.functions.text import strip
@@ -49,6 +50,28 @@ def test_many_labels_follow_the_same_rules(spark):
     assert one(spark, lambda c: extract_label(c, few), *texts) == one(spark, lambda c: extract_label(c, many), *texts)
 
 
+def by_chain(text, labels):
+    """Tier by tier, label by label."""
+    low = text.strip().lower()
+    for match in (str.__eq__, str.startswith, str.__contains__):
+        for label in labels:
+            if match(low, label.lower()):
+                return label
+    return None
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_one_pass_finds_what_the_tiers_find(seed):
+    draw = random.Random(seed)
+    word = lambda n: "".join(draw.choices("abAB é", k=draw.randint(seed % 2, n)))
+    labels = [word(4) for _ in range(60)]
+    finder = LabelFinder(labels)
+    for _ in range(3_000):
+        text = word(9).strip()
+        assert finder.find(text.lower()) == by_chain(text, labels), (text, labels)
+    assert LabelFinder([]).find("x") is None and LabelFinder([""]).find("x") == ""
+
+
 def test_strip_follows_python(spark):
     texts = [" a ", "\x1c\x1fb\x85", "　c d ", "e", "", "\n\t"]
     assert one(spark, strip, *texts) == [t.strip() for t in texts]
@@ -104,6 +127,9 @@ BROKEN = [
     '{"q": ["r \\" [", "z": 7}',
     *['{' + ", ".join(f'"k{i}": ["v{i}"' for i in range(n)) + ', "last": 1}' for n in range(2, 9)],
     '{"list": ["p", "' + "long" * 100 + '": 1}',
+    *['{"deep": ' + "[" * n + '1, 2, "key": {"x": 3}' for n in range(1, 9)],
+    '{"a": [{"b": [[1, 2], [3, "c": 4}], "d": [5',
+    '{"rows": [[{"v": [1, [2, 3, "w": "]"}, {"v": [[4]], "w": [',
 ]
 
 
@@ -121,9 +147,16 @@ def test_repair_values():
     assert json.loads(repair_text('{"n": [4, 5,')) == {"n": [4, 5]}
     assert json.loads(repair_text('{"outer": {"inner": 5}'))["outer"]["inner"] == 5
     assert json.loads(repair_text(BROKEN[8])) == {"k0": ["v0"], "k1": ["v1"], "k2": ["v2"], "k3": ["v3"], "last": 1}
+    assert json.loads(repair_text('{"a": [[1, 2, "b": 3}')) == {"a": [[1, 2]], "b": 3}
+    assert json.loads(repair_text('{"a": [{"b": [[1, 2], [3, "c": 4}], "d": [5')) == {"a": [{"b": [[1, 2], [3]], "c": 4}], "d": [5]}
     assert repair_text("no json") == "no json"
 
 
+def test_repair_is_linear_in_depth():
+    text = '{"k": ' * 3_000 + "[" * 3_000 + '1, "x": 2'
+    assert repair_text(text).count("]") == 3_000
+
+
 def test_repair_job_touches_broken_rows_only(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*BROKEN, '{"ok": 1}', None, "x"])], "i int, t string")
     found = {r["i"]: r for r in repair_json(rows, "t").collect()}

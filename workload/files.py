@@ -12,7 +12,7 @@ from tabloom.plans.evaluation import score_files
 from tabloom.session import scratch_path
 from tabloom.sources.examples import read_examples, read_predictions, write_examples
 from tabloom.sources.reports import write_metrics, write_rankings
-from tabloom.sources.stages import read_stage, write_stage
+from tabloom.sources.stages import manifests, read_stage, write_stage
 from tabloom.sources.tables import read_table, scan_health, schema_alignment
 from tabloom.streaming.live import append_to, stream_examples, stream_labels
 from workload.inputs import CUSTOMER_GAPS_SQL, ORDER_EXAMPLES_SQL, ORDER_SPEC, STATUS, customer_gaps, extract_sql, predictions
@@ -41,11 +41,12 @@ def scan_csv(spark, sf):
 
 
 def _broken_lines(spark, sf):
-    """A CSV folder in which every third name runs over two lines."""
+    """A CSV table in which every third name runs over two lines, and the size of a block: one file takes 20 or more."""
     path = scratch_path(spark, "customer_lines")
+    customers = table(spark, sf, "customer")
     name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\n"), "c_mktsegment")).otherwise(F.col("c_name"))
-    table(spark, sf, "customer").select("c_custkey", name.alias("c_name"), "c_acctbal").write.csv(path, header=True, escape='"')
-    return path
+    customers.select("c_custkey", name.alias("c_name"), "c_acctbal").write.csv(path, header=True, escape='"')
+    return path, max(256, 2 * customers.count())
 
 
 @query(
@@ -53,12 +54,31 @@ def _broken_lines(spark, sf):
     "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || c_mktsegment ELSE c_name END AS c_name, c_acctbal FROM customer",
 )
 def scan_csv_multiline(spark, sf):
-    return read_table(spark, _broken_lines(spark, sf))
+    """Blocks of one file go to different tasks, and begin anywhere in a cell."""
+    path, block_bytes = _broken_lines(spark, sf)
+    return read_table(spark, path, block_bytes=block_bytes)
 
 
 @query("scan_health_multiline", "SELECT true AS ok, 3::INTEGER AS n_columns, count(*) AS n_rows, 0::BIGINT AS n_corrupt, 'ok' AS message FROM customer")
 def scan_health_multiline(spark, sf):
-    return scan_health(spark, _broken_lines(spark, sf)).drop("path")
+    path, block_bytes = _broken_lines(spark, sf)
+    return scan_health(spark, path, block_bytes=block_bytes).drop("path")
+
+
+@query("examples_array", ORDER_EXAMPLES_SQL.replace("o_orderkey, ", "", 1))
+def examples_array(spark, sf):
+    """One JSON array over several lines a record, read in 20 blocks or more."""
+    path = scratch_path(spark, "examples_array")
+    ex = build_examples(table(spark, sf, "orders"), ORDER_SPEC)
+    record = F.regexp_replace(F.to_json(F.struct("instruction", "input", "output")), '","', '",\n  "')
+    rows = ex.select(F.col("o_orderkey").alias("at"), F.concat(F.lit(","), record).alias("value"))
+    edges = spark.range(2).select(F.when(F.col("id") == 0, F.lit(-2**62)).otherwise(F.lit(2**62)).alias("at"),
+                                  F.when(F.col("id") == 0, F.lit("[")).otherwise(F.lit("]")).alias("value"))
+    # The array is one file on purpose. Its first record has no comma before it.
+    lines = rows.unionByName(edges).coalesce(1).sortWithinPartitions("at")
+    first = table(spark, sf, "orders").agg(F.min("o_orderkey")).scalar()
+    lines.select(F.when(F.col("at") == first, F.substr("value", F.lit(2))).otherwise(F.col("value")).alias("value")).write.text(path)
+    return read_examples(spark, path, block_bytes=max(256, 4 * ex.count()))
 
 
 @query(
@@ -173,6 +193,22 @@ def stage_roundtrip(spark, sf):
     return read_stage(spark, root, "run1", "examples")
 
 
+@query(
+    "stage_manifest",
+    """SELECT 'examples' AS stage, r AS run_id, v::BIGINT AS version, count(o_orderkey) FILTER (o_orderkey % m = 0) AS n_rows, true AS readable
+    FROM orders, (VALUES ('older', 1, 2), ('run1', 1, 3), ('run1', 2, 1)) t(r, v, m) GROUP BY 1, 2, 3""",
+)
+def stage_manifest(spark, sf):
+    """Versions of two runs as published; the newest of a run is read."""
+    root = scratch_path(spark, "manifests")
+    ex = build_examples(table(spark, sf, "orders"), ORDER_SPEC)
+    for run, part in (("older", 2), ("run1", 3), ("run1", 1)):
+        write_stage(ex.filter(f"o_orderkey % {part} = 0"), root, run, "examples", {"part": part})
+    found = manifests(spark, root, "examples")
+    newest = read_stage(spark, root, "run1", "examples", {"part": 1}).count()
+    return found.select("stage", "run_id", "version", "n_rows", (F.lit(newest) >= F.col("n_rows")).alias("readable"))
+
+
 _PREPARED = stratified_sql(ORDER_EXAMPLES_SQL, "output", "o_orderkey", "0.2")
 
 

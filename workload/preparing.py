@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tabloom.operators import balance as B
@@ -70,12 +72,44 @@ def build_examples_gaps(spark, sf):
     return E.build_examples(gaps, E.fit_medians(gaps, CUSTOMER_SPEC))
 
 
-@query("map_target_long", "SELECT o_orderkey, 'c' || (o_custkey % 9) AS label FROM orders WHERE o_custkey % 2 = 0 AND o_custkey < 2000")
+@query(
+    "map_target_long",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_custkey < 2000 THEN 'c' || (o_custkey % 9)
+      ELSE o_custkey || '.0' END AS label FROM orders""",
+)
 def map_target_long(spark, sf):
-    """A thousand whole-number keys against a target held as double."""
+    """A thousand whole-number keys against a target held as double; the others keep their text."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("y"))
     mapping = LabelMap({i: f"c{i % 9}" for i in range(0, 2000, 2)})
-    return E.map_target(orders, "y", mapping).select("o_orderkey", "label")
+    return E.map_target(orders, "y", mapping, "keep").select("o_orderkey", "label")
+
+
+# Numbers at and beyond the ends of the 64-bit whole numbers, spelled in several ways.
+LARGE = {"1.0E22": "sextillion", "9223372036854775808": "two to 63", "-1e300": "low", "0.1": "tenth", "1e2": "hundred"}
+
+
+@query(
+    "map_target_large_numbers",
+    """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'sextillion' WHEN 1 THEN 'two to 63' WHEN 2 THEN 'low' WHEN 3 THEN 'tenth'
+      ELSE 'hundred' END AS label FROM orders WHERE o_orderkey % 7 < 5""",
+)
+def map_target_large_numbers(spark, sf):
+    value = "CASE o_orderkey % 7 WHEN 0 THEN 1e22D WHEN 1 THEN 9223372036854775808D WHEN 2 THEN -1e300D WHEN 3 THEN 0.1D WHEN 4 THEN 100D WHEN 5 THEN 7D END"
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", f"{value} AS y")
+    return E.map_target(orders, "y", LabelMap(LARGE)).select("o_orderkey", "label")
+
+
+@query(
+    "preparation_dropped",
+    f"""WITH c AS (SELECT CASE WHEN c_mktsegment IS NULL THEN 'missing_target' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'kept'
+      ELSE 'no_label' END AS reason FROM ({CUSTOMER_GAPS_SQL}) s)
+    SELECT r.reason, count(c.reason) AS n_rows, round(count(c.reason) * 100.0::DOUBLE / (SELECT count(*) FROM c), 6) AS pct
+    FROM (VALUES ('missing_target'), ('no_label'), ('kept')) r(reason) LEFT JOIN c ON c.reason = r.reason GROUP BY 1""",
+)
+def preparation_dropped(spark, sf):
+    """Rows that become no example, by reason."""
+    spec = replace(CUSTOMER_SPEC, mapping=LabelMap({"BUILDING": "a", "MACHINERY": "b"}))
+    return E.preparation_dropped(customer_gaps(spark, sf), spec).withColumn("pct", F.round("pct", 6))
 
 
 @query(
@@ -241,18 +275,17 @@ def undersample_sql(source: str, label: str, key_text: str, order: str, columns:
       WHERE rk <= least"""
 
 
-LABELLED_SQL = "SELECT l.doc_id, quality, source, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
-_LABELLED = (LABELLED_SQL, "quality", "doc_id", "doc_id", "doc_id, quality, source, lang")
-_TURNS = ("SELECT conv_id, turn, role FROM conversations", "role", "conv_id || '|' || turn", "conv_id, turn", "conv_id, turn, role")
+LABELLED_SQL = "SELECT l.doc_id, quality, toxic, text, source, lang, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+_LABELLED = (LABELLED_SQL, "quality", "doc_id", "doc_id", "doc_id, quality, toxic, text, source, lang, n_chars")
+_TURNS = ("SELECT conv_id, turn, role, text FROM conversations", "role", "conv_id || '|' || turn", "conv_id, turn", "conv_id, turn, role, text")
 
 
 def labelled(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return table(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
 
 
 def turns(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
 
 
 @query("oversample", oversample_sql(*_LABELLED))
@@ -275,7 +308,7 @@ def balance(spark, sf):
     return B.balance(turns(spark, sf), "undersample", "role", TURN_KEY)
 
 
-@query("balance_none", "SELECT conv_id, turn, role FROM conversations")
+@query("balance_none", "SELECT conv_id, turn, role, text FROM conversations")
 def balance_none(spark, sf):
     return B.balance(turns(spark, sf), "none", "role", TURN_KEY)
 
@@ -345,6 +378,37 @@ def stratified_split_lineitem(spark, sf):
     return S.split_report(rows, "l_linestatus").drop("pct")
 
 
+# Three rows a line item, so that there are many classes of a few rows each.
+_MANY_SQL = """SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS label, c AS copy,
+  l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || c AS k FROM lineitem, range(3) t(c)"""
+
+
+def many_classes(spark, sf):
+    lines = table(spark, sf, "lineitem").selectExpr("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS label")
+    return lines.selectExpr("label", "explode(sequence(0L, 2L)) AS copy").selectExpr("label", "copy", "concat_ws('|', label, copy) AS k")
+
+
+@query(
+    "stratified_split_many_classes",
+    f"SELECT label, split, count(*) AS n FROM ({stratified_sql(_MANY_SQL, 'label', 'k', '0.5', 'label, split')}) z GROUP BY ALL",
+)
+def stratified_split_many_classes(spark, sf):
+    """A class for every line item: class tables too large to broadcast."""
+    rows = S.stratified_split(many_classes(spark, sf), "label", ["k"], 0.5)
+    return rows.groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+@query(
+    "split_report_many",
+    """SELECT l_linestatus AS split, l_orderkey::VARCHAR AS label, count(*) AS n,
+      round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY l_linestatus), 6) AS pct FROM lineitem GROUP BY 1, 2""",
+)
+def split_report_many(spark, sf):
+    """Two sets of very many classes."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("split"), F.col("l_orderkey").cast("string").alias("label"))
+    return S.split_report(rows, "label").withColumn("pct", F.round("pct", 6))
+
+
 @query("random_split", random_sql("SELECT * FROM part", "p_partkey", "0.2", "p_partkey, p_retailprice, split"))
 def random_split(spark, sf):
     rows = S.random_split(table(spark, sf, "part"), ["p_partkey"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import columns as C
 from tabloom.operators import profile as P
+from tabloom.operators.frequent import frequent_values
 from workload.inputs import CUSTOMER_GAPS_SQL, WIDE, customer_gaps, wide_embeddings
 from workload.registry import query, table
 
@@ -74,9 +75,9 @@ def column_profile(spark, sf):
     return P.column_profile(customer_gaps(spark, sf))
 
 
-@query("column_profile_lineitem", f"SELECT *, 5::INTEGER AS n_more FROM ({profile_sql('SELECT * FROM lineitem', LINEITEM[:6])}) p")
+@query("column_profile_lineitem", f"SELECT *, 0::INTEGER AS n_more FROM ({profile_sql('SELECT * FROM lineitem', LINEITEM)}) p")
 def column_profile_lineitem(spark, sf):
-    return P.column_profile(table(spark, sf, "lineitem"), max_cols=6)
+    return P.column_profile(table(spark, sf, "lineitem"))
 
 
 @query("numeric_summary", summary_sql("SELECT * FROM lineitem", LINEITEM))
@@ -102,17 +103,55 @@ def value_counts(spark, sf):
     return P.value_counts(customer_gaps(spark, sf), ["c_mktsegment", "c_nationkey"])
 
 
-_PART_LESS = [c for c in PART if c[0] != "p_brand"]
-
-
 @query(
     "value_counts_default",
-    f"""SELECT * FROM ({top_sql('SELECT * FROM part', [c for c, _ in _PART_LESS])}) t WHERE "column" IN
-    (SELECT "column" FROM ({profile_sql('SELECT * FROM part', _PART_LESS)}) p WHERE {CATEGORICAL})""",
+    f"""SELECT * FROM ({top_sql('SELECT * FROM part', [c for c, _ in PART])}) t WHERE "column" IN
+    (SELECT "column" FROM ({profile_sql('SELECT * FROM part', PART)}) p WHERE {CATEGORICAL})""",
 )
 def value_counts_default(spark, sf):
     """The low-cardinality columns are found first."""
-    return P.value_counts(table(spark, sf, "part").drop("p_brand"))
+    return P.value_counts(table(spark, sf, "part"))
+
+
+@query(
+    "numeric_summary_approximate",
+    "SELECT 'count' AS item, count(*)::DOUBLE AS value, true AS within, c AS \"column\" FROM lineitem, (VALUES "
+    + ", ".join(f"('{c}')" for c, t in LINEITEM if t in ("bigint", "int", "double")) + ") n(c) GROUP BY c UNION ALL SELECT q, p, true, c FROM (VALUES "
+    + ", ".join(f"('{c}')" for c, t in LINEITEM if t in ("bigint", "int", "double")) + ") n(c), (VALUES ('p25', 0.25::DOUBLE), ('p50', 0.5), ('p75', 0.75)) z(q, p)",
+)
+def numeric_summary_approximate(spark, sf):
+    """Whether the true rank of every sketched quartile lies within the stated error of the wanted one."""
+    lines = table(spark, sf, "lineitem")
+    found = {r["column"]: r for r in P.numeric_summary(lines, digits=12, approximate=True).collect()}
+    places = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    checks = []
+    for c, r in found.items():
+        checks.append(f"struct('{c}' AS column, 'count' AS item, CAST(count({c}) AS DOUBLE) AS value, count({c}) = {r['count']} AS within)")
+        for q, p in places.items():
+            below, upto = f"count_if({c} < {r[q]!r}D) / count({c})", f"count_if({c} <= {r[q]!r}D) / count({c})"
+            checks.append(f"struct('{c}' AS column, '{q}' AS item, {p}D AS value, {below} <= {p + P.SKETCH_RANK_ERROR} AND {upto} >= {p - P.SKETCH_RANK_ERROR} AS within)")
+    return lines.agg(F.expr(f"array({', '.join(checks)})").alias("checks")).select(F.inline("checks"))
+
+
+# Seven frequent values among very many, short and long.
+_HOT = "CASE WHEN l_orderkey % 4 = 0 THEN 'hot' || l_linenumber ELSE l_orderkey || '/' || l_partkey || '/' || l_linenumber END"
+_LONG = f"repeat('words of a comment ', 5) || {_HOT}"
+_FREQUENT = {"short": _HOT, "long": _LONG, "flag": "CASE WHEN l_linenumber < 3 THEN NULL ELSE l_returnflag END"}
+
+
+@query(
+    "frequent_values",
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{c}' AS "column", v AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, v NULLS FIRST)::INTEGER AS rank, true AS certain
+        FROM (SELECT {e} AS v FROM lineitem) s GROUP BY v) r WHERE rank <= 4""" for c, e in _FREQUENT.items()
+    ),
+)
+def frequent_values_query(spark, sf):
+    """Counters of the tasks first, then exact counts of the few values that may be frequent."""
+    lines = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _FREQUENT.items()])
+    found = frequent_values(lines, k=4)
+    # Ties at the border are settled by value; the bound then equals the count.
+    return found.select("column", "value", "n", "rank", (F.col("n") >= F.col("n_others")).alias("certain"))
 
 
 _WIDE_SQL = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {n}" for i, n in enumerate(WIDE)) + " FROM embeddings"

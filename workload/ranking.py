@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import features as FE
 from tabloom.operators.forest import baseline_predict, rank_forest
+from tabloom.operators.neighbours import digamma, rank_mutual_info_knn
 from tabloom.operators.split import stratified_split
 from workload.inputs import GAP_VARIANCE, TALL_GAPS_SQL, TALL_SQL, VARIANCE, WIDE, wide_embeddings, wide_gaps
+from workload.preparing import stratified_sql
 from workload.registry import query, table
 
 FILLED_SQL = f"""SELECT vec_id, label, g.i, g.feature, coalesce(v, m) AS v FROM ({TALL_GAPS_SQL}) g
@@ -72,6 +74,17 @@ def encode_label(spark, sf):
     return FE.encode_label(rows, "o_orderpriority")
 
 
+@query(
+    "encode_label_many",
+    """SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey AS line, (dense_rank() OVER (ORDER BY l_orderkey || '|' || l_linenumber || '|' || l_partkey)
+      - 1)::INTEGER AS y_code FROM lineitem""",
+)
+def encode_label_many(spark, sf):
+    """A class for every line item."""
+    rows = table(spark, sf, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
+    return FE.encode_label(rows, "line")
+
+
 @query("rank_correlation", shown(ranked_sql(correlation_sql(TALL_SQL))))
 def rank_correlation(spark, sf):
     return show(FE.rank_correlation(wide_embeddings(spark, sf), WIDE, "label"))
@@ -174,3 +187,48 @@ def baseline_query(spark, sf):
     train = rows.filter("split = 'train'").drop("split")
     test = rows.filter("split = 'test'").drop("split")
     return baseline_predict(train, test, columns, "o_orderstatus", key=["o_orderkey"])
+
+
+@query(
+    "rank_forest_signal",
+    """SELECT 'random_forest' AS method, 'signal' AS feature, 0::INTEGER AS rank, 65::BIGINT AS n_features, 1.0::DOUBLE AS total""",
+)
+def rank_forest_signal(spark, sf):
+    """A feature that is the label with a little noise comes first; scores add up to one."""
+    rows = wide_embeddings(spark, sf).withColumn("signal", F.col("label") + F.col("e00") / 10)
+    ranks = rank_forest(rows, [*WIDE, "signal"], "label", key=["vec_id"], n_trees=20, max_depth=5)
+    first = F.min_by(F.struct("method", "feature", F.col("rank").cast("int").alias("rank")), "rank")
+    return ranks.agg(first.alias("first"), F.count("*").alias("n_features"), F.round(F.sum("score"), 6).alias("total")).select(
+        "first.*", "n_features", "total")
+
+
+@query(
+    "baseline_rows",
+    """SELECT split, count(*) AS n, count(*) AS known, count(DISTINCT o_orderkey) AS n_keys FROM (""" + stratified_sql(
+        "SELECT * FROM orders", "o_orderstatus", "o_orderkey", "0.2", "o_orderkey, split") + """) s GROUP BY 1""",
+)
+def baseline_rows(spark, sf):
+    """Every row of both sides gets a prediction that is one of the classes."""
+    rows = baseline_query(spark, sf)
+    known = F.count_if(F.col("predict").isin("F", "O", "P"))
+    return rows.groupBy("split").agg(F.count("*").alias("n"), known.alias("known"), F.count_distinct("o_orderkey").alias("n_keys"))
+
+
+def mutual_info_knn_sql(source: str, k: int = 3) -> str:
+    """All pairs of one feature and class for the distances, all pairs of one feature for the counts."""
+    return f"""WITH p AS (SELECT vec_id, feature, label, v, count(*) OVER (PARTITION BY feature, label) AS c FROM ({source}) t WHERE v IS NOT NULL),
+      q AS (SELECT *, least({k}, c - 1) AS kk FROM p WHERE c > 1),
+      d AS (SELECT a.vec_id, a.feature, a.v, a.kk, a.c, abs(b.v - a.v) AS dist,
+              row_number() OVER (PARTITION BY a.feature, a.vec_id ORDER BY abs(b.v - a.v)) AS r
+            FROM q a JOIN q b ON a.feature = b.feature AND a.label = b.label AND a.vec_id <> b.vec_id),
+      m AS (SELECT d.feature, d.vec_id, any_value(d.kk) AS kk, any_value(d.c) AS c,
+              count(*) FILTER (abs(b.v - d.v) < d.dist OR b.v = d.v) AS m
+            FROM d JOIN q b ON b.feature = d.feature WHERE d.r = d.kk GROUP BY 1, 2),
+      s AS (SELECT feature, count(*) AS n, avg({digamma('kk')}) AS a, avg({digamma('c')}) AS b, avg({digamma('m')}) AS e FROM m GROUP BY 1)
+    SELECT 'mutual_info' AS method, feature, round(greatest({digamma('n')} + a - b - e, 0), 9) AS score FROM s"""
+
+
+@query("rank_mutual_info_knn", shown(ranked_sql(mutual_info_knn_sql(TALL_GAPS_SQL))))
+def rank_mutual_info_knn_query(spark, sf):
+    """Three neighbours, missing values left out."""
+    return show(rank_mutual_info_knn(wide_gaps(spark, sf), WIDE, "label"))

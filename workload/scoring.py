@@ -180,3 +180,64 @@ def evaluate(spark, sf):
     """The summary table of a full evaluation."""
     found = M.evaluate(predictions(spark, sf), STATUS)["summary"]
     return rounded(found, "accuracy", "f1", "macro_f1", "weighted_f1")
+
+
+@query("evaluate_labels", UNIVERSE_SQL)
+def evaluate_labels(spark, sf):
+    return M.evaluate(predictions(spark, sf), STATUS)["labels"]
+
+
+@query("evaluate_confusion", MATRIX_SQL)
+def evaluate_confusion(spark, sf):
+    return M.evaluate(predictions(spark, sf), STATUS)["confusion"]
+
+
+@query("evaluate_report", REPORT_SQL)
+def evaluate_report(spark, sf):
+    return rounded(M.evaluate(predictions(spark, sf), STATUS)["report"], "precision", "recall", "f1")
+
+
+@query(
+    "binary_f1_universe",
+    f"""SELECT split, round(2.0::DOUBLE * count(*) FILTER (truth = 'Done' AND pred = 'Done')
+      / (count(*) FILTER (truth = 'Done') + count(*) FILTER (pred = 'Done')), 6) AS f1 FROM ({_BINARY_SCORED}) s GROUP BY split""",
+)
+def binary_f1_universe(spark, sf):
+    """The default: a universe of two labels, one of which is the marker itself."""
+    mapping = LabelMap([("F", "Done"), ("O", M.UNPARSED), ("P", M.UNPARSED)])
+    renamed = binary_predictions(spark, sf).withColumns(
+        {c: F.when(F.lower(c) == "done", F.col(c)).otherwise(F.lit(M.UNPARSED)) for c in ("label", "predict")})
+    scored = M.score_rows(renamed, mapping)
+    return rounded(M.binary_f1(M.label_scores(M.pair_counts(scored, mapping), M.label_universe(scored, mapping))), "f1")
+
+
+@query(
+    "evaluate_many_labels",
+    """SELECT l_linestatus AS split, l_partkey::VARCHAR AS truth, (l_partkey - l_partkey % 2)::VARCHAR AS pred, count(*) AS n FROM lineitem
+    WHERE (l_linestatus, l_partkey - l_partkey % 2) IN (SELECT (l_linestatus, l_partkey) FROM lineitem) GROUP BY ALL""",
+)
+def evaluate_many_labels(spark, sf):
+    """Labels inferred from the truths: only cells that occur, though nothing asks for that."""
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "l_linestatus AS split", "CAST(l_partkey AS STRING) AS label", "CAST(l_partkey - l_partkey % 2 AS STRING) AS predict")
+    return M.evaluate(rows, LabelMap())["confusion"]
+
+
+# Five thousand labels, some contained in others.
+_MANY = [f"part {i}" for i in range(1, 5001)]
+
+
+@query(
+    "extract_label_many",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'PART ' || (l_partkey % 5000 + 1)
+        WHEN 1 THEN ' Part ' || (l_partkey % 5000 + 1) || ' it is' WHEN 2 THEN 'I say part ' || (l_partkey % 5000 + 1) || '!' ELSE ' none ' END AS text,
+        l_partkey % 5000 + 1 AS x, l_linenumber % 4 AS kind FROM lineitem)
+    SELECT l_orderkey, l_linenumber, text, CASE kind WHEN 0 THEN 'part ' || x WHEN 3 THEN 'none'
+      ELSE 'part ' || substr(x::VARCHAR, 1, 1) END AS label FROM p""",
+)
+def extract_label_many(spark, sf):
+    """An equal label wins, else the first of the labels that start the text or occur in it: the one-digit one."""
+    text = """CASE l_linenumber % 4 WHEN 0 THEN 'PART ' || (l_partkey % 5000 + 1) WHEN 1 THEN ' Part ' || (l_partkey % 5000 + 1) || ' it is'
+      WHEN 2 THEN 'I say part ' || (l_partkey % 5000 + 1) || '!' ELSE ' none ' END"""
+    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{text} AS text")
+    return rows.withColumn("label", extract_label(F.col("text"), _MANY))

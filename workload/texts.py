@@ -37,21 +37,31 @@ def parse(spark, sf):
     return parse_payload(rows, "payload", "k bigint").select("event_id", F.col("parsed.k").alias("k"), "ok", "preview")
 
 
-# Broken records: last brace lost, array never closed, trailing comma, beyond repair.
-BROKEN = """CASE event_id % 5 WHEN 0 THEN props
+# Broken records: last brace lost, array never closed, trailing comma, 1 to 8 arrays open at once before a further key
+# or at the end, a long key after them, beyond repair.
+LONG_KEY = "repeat('key ', 40)"
+OPEN = "repeat('[', event_id % 8 + 1)"
+CLOSE = "repeat(']', event_id % 8 + 1)"
+BROKEN = f"""CASE event_id % 8 WHEN 0 THEN props
   WHEN 1 THEN left(props, length(props) - 1)
-  WHEN 2 THEN '{"tags": ["' || event_type || '", ' || substr(props, 2)
+  WHEN 2 THEN '{{"tags": ["' || event_type || '", ' || substr(props, 2)
   WHEN 3 THEN left(props, length(props) - 1) || ', "v": [1, 2,'
+  WHEN 4 THEN '{{"deep": ' || {OPEN.replace('event_id', '(event_id div 8)')} || '1, 2, "' || {LONG_KEY} || '": ' || props || '}}'
+  WHEN 5 THEN '{{"deep": ' || {OPEN.replace('event_id', '(event_id div 8)')} || '"a", 2'
+  WHEN 6 THEN '{{"a": [{{"b": [[1, 2], [3, "c": ' || user_id || '}}], "d": [4'
   ELSE props || ' ' || event_type END"""
-MENDED = """CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props
-  WHEN 2 THEN '{"tags": ["' || event_type || '"], ' || substr(props, 2)
-  WHEN 3 THEN left(props, length(props) - 1) || ', "v": [1, 2]}'
+MENDED = f"""CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN props
+  WHEN 2 THEN '{{"tags": ["' || event_type || '"], ' || substr(props, 2)
+  WHEN 3 THEN left(props, length(props) - 1) || ', "v": [1, 2]}}'
+  WHEN 4 THEN '{{"deep": ' || {OPEN.replace('event_id', '(event_id // 8)')} || '1, 2' || {CLOSE.replace('event_id', '(event_id // 8)')} || ', "' || {LONG_KEY} || '": ' || props || '}}'
+  WHEN 5 THEN '{{"deep": ' || {OPEN.replace('event_id', '(event_id // 8)')} || '"a", 2' || {CLOSE.replace('event_id', '(event_id // 8)')} || '}}'
+  WHEN 6 THEN '{{"a": [{{"b": [[1, 2], [3]], "c": ' || user_id || '}}], "d": [4]}}'
   ELSE props || ' ' || event_type END"""
 
 
 @query(
     "repair_json",
-    f"SELECT event_id, {MENDED} AS repaired, event_id % 5 = 0 AS was_valid, event_id % 5 <> 4 AS is_valid FROM events",
+    f"SELECT event_id, {MENDED} AS repaired, event_id % 8 = 0 AS was_valid, event_id % 8 <> 7 AS is_valid FROM events",
 )
 def repair(spark, sf):
     rows = table(spark, sf, "events").selectExpr("event_id", f"{BROKEN} AS body")
