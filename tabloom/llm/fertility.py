@@ -1,7 +1,8 @@
 """Quality rules on how public vocabularies cut a text, with rejection bands per language.
 
-Three measures, in thousandths: characters per token of a byte-level vocabulary; the share of byte-fallback tokens of a
-vocabulary with byte fallback; the entropy in bits of the tokens of the byte-level vocabulary. Text in the language it is
+Three measures of the words of a text, in thousandths: characters per token of a byte-level vocabulary; the share of byte-fallback tokens
+of a vocabulary with byte fallback; the entropy in bits of the tokens of the byte-level vocabulary. Each word is cut by itself, so white space has no part in
+them, and a word that comes again is not cut again. Text in the language it is
 said to be in keeps close to what is usual for that language and length; symbols between words, random letters, tables, and
 text in no language leave it.
 
@@ -15,8 +16,8 @@ Counts are aggregated before they move, and a class has a bounded number of valu
 Base rules: a document fails with fewer than 50 words, or with more than half its words in three-word windows that occur twice or more.
 
 Defined cases: a null or empty text has no words, so it fails; bytes that are not UTF-8 become U+FFFD; a null language is a language of its
-own; rows are judged alone, so repeated rows get equal verdicts; an empty table gives an empty result; long texts are read in pieces
-of at most ``PIECE_CHARS`` characters, cut at line ends where there are any; other columns are ignored
+own; rows are judged alone, so repeated rows get equal verdicts; an empty table gives an empty result; long texts are read in blocks
+of words; other columns are ignored
 (``fertility_report``) or carried along whatever their names (``keep_fertile``).
 """
 
@@ -24,7 +25,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -40,7 +43,14 @@ MOST_REPEATED_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 ANY_SPACE = re.compile(b"[" + SPACES + b"]")
+# Words are read in blocks of so many bytes; longer words are cut into pieces of so many characters for the vocabularies.
+WORD_BLOCK = 1 << 18
 PIECE_CHARS = 65_536
+# Words remembered in a worker, and the longest of them.
+KNOWN_WORDS = 200_000
+KNOWN_BYTES = 64
+# Words that are cut in one call.
+WORDS_AT_ONCE = 512
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
 WIDTH = 4.5
 # Least deviations in thousandths, per measure.
@@ -54,23 +64,8 @@ MEASURED = COUNTS + ", n_tokens bigint, chars_per_token bigint, fallback_share b
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
-    """A text in pieces of at most ``most`` characters, cut after a line end if the piece has one."""
-    start = 0
-    while start < len(text):
-        end = start + most
-        if end < len(text):
-            line = text.rfind("\n", start, end)
-            end = line + 1 if line >= start else end
-        yield text[start:end]
-        start = end
-
-
-class Numbers(dict):
-    """Words in the order in which they are first met."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+    """A word in pieces of at most ``most`` characters."""
+    return (text[i:i + most] for i in range(0, len(text), most))
 
 
 def repeated_words(words: np.ndarray) -> int:
@@ -87,52 +82,108 @@ def repeated_words(words: np.ndarray) -> int:
     return int(np.count_nonzero(inside))
 
 
-def word_numbers(data: bytes, most: int = 1 << 20) -> np.ndarray:
-    """Each word's number, read in blocks that end at a space."""
-    numbers, found, start = Numbers(), [], 0
+def word_blocks(data: bytes, most: int = WORD_BLOCK) -> Iterator[list[bytes]]:
+    """The words of a text, in blocks of about ``most`` bytes."""
+    start = 0
     while start < len(data):
         border = ANY_SPACE.search(data, min(start + most, len(data)))
         end = border.start() if border else len(data)
-        words = data[start:end].split()
-        found.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        yield data[start:end].split()
         start = end
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def base_counts(data: bytes, text: str) -> tuple[int, int, int, int, int]:
-    """Words, characters in words, symbols, repeated lines, words in repeated windows."""
-    words = word_numbers(data)
+def line_counts(data: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
     lines = [line for line in data.split(b"\n") if line.strip()]
-    in_words = len(text) - (len(data) - len(data.translate(None, SPACES)))
+    return len(lines) - len(set(lines))
+
+
+def measures_of(data: bytes, tools: Vocabularies) -> tuple:
+    """The columns ``MEASURED`` of a valid UTF-8 text, its words read once."""
+    numbers: dict[bytes, int] = {}
+    placed = []
+
+    def blocks() -> Iterator[list[bytes]]:
+        for words in word_blocks(data):
+            new = [w for w in dict.fromkeys(words) if w not in numbers] if numbers else dict.fromkeys(words)
+            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
+            placed.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            yield words
+
+    chars = len(data.decode()) - (len(data) - len(data.translate(None, SPACES)))
+    tokens = tools.measure(blocks(), chars)
+    words = np.concatenate(placed) if placed else np.zeros(0, np.int64)
     symbols = len(data) - len(data.translate(None, SYMBOLS))
-    return len(words), in_words, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, symbols, line_counts(data), repeated_words(words), *tokens
 
 
 class Vocabularies:
-    """Two public vocabularies and what they make of a text."""
+    """Two public vocabularies and what they make of words, each word by itself with a space before it.
+
+    What a word becomes is remembered, in two generations of at most ``KNOWN_WORDS`` words each; no result depends on that.
+    """
 
-    def __init__(self, byte_level: str, pattern: str, with_fallback: str):
+    def __init__(self, byte_level: str, pattern: str, with_fallback: str, known_words: int = KNOWN_WORDS):
         self.encoder = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=read_ranks(byte_level), special_tokens={})
         self.processor = sentencepiece.SentencePieceProcessor(model_file=with_fallback)
-        self.bytes = np.array([self.processor.is_byte(i) for i in range(self.processor.get_piece_size())])
-
-    def measure(self, text: str) -> tuple[int, int | None, int | None, int | None]:
-        """Tokens, and the three measures (null without tokens)."""
-        counts: dict[int, int] = {}
-        fallback = with_fallback = 0
-        for piece in pieces(text):
-            ids, times = np.unique(self.encoder.encode_to_numpy(piece, disallowed_special=()), return_counts=True)
-            for i, n in zip(ids.tolist(), times.tolist()):
-                counts[i] = counts.get(i, 0) + n
-            for line in self.processor.encode(piece.split("\n"), num_threads=1):
-                with_fallback += len(line)
-                fallback += int(np.count_nonzero(self.bytes[line]))
-        n = sum(counts.values())
+        names = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
+        self.bytes = np.array([self.processor.is_byte(i) for i in range(len(names))], np.int64)
+        self.begins = np.array([name.startswith("\u2581") for name in names])
+        self.most = known_words
+        # Of a word: its byte-level tokens, the number of its tokens with fallback, and how many of these are bytes.
+        self.known: dict[bytes, tuple[list[int], int, int]] = {}
+        self.older: dict[bytes, tuple[list[int], int, int]] = {}
+
+    def _read(self, words: list[bytes]) -> list[tuple[list[int], int, int]]:
+        """What the vocabularies make of words. Short ones share calls of the second one: in a line of words each begins with the one
+        piece that begins with a space mark, unless a word holds such marks itself, and then they are cut alone."""
+        texts = [w.decode() for w in words]
+        encode = self.encoder.encode_ordinary
+        ids = [encode(" " + t) if len(t) <= PIECE_CHARS else [i for part in pieces(" " + t) for i in encode(part)] for t in texts]
+        made: list[tuple[int, int]] = []
+        for start in range(0, len(texts), WORDS_AT_ONCE):
+            some = texts[start:start + WORDS_AT_ONCE]
+            together = sum(map(len, some)) <= PIECE_CHARS
+            line = np.asarray(self.processor.encode(" ".join(some)) if together else [], np.int64)
+            begins = np.flatnonzero(self.begins[line])
+            if len(begins) == len(some):
+                made += zip(np.diff(np.append(begins, len(line))).tolist(), np.add.reduceat(self.bytes[line], begins).tolist())
+            else:
+                alone = [[i for part in pieces(t) for i in self.processor.encode(part)] for t in some]
+                made += [(len(other), int(np.count_nonzero(self.bytes[other]))) for other in alone]
+        return [(mine, *other) for mine, other in zip(ids, made)]
+
+    def _entries(self, words: list[bytes]) -> list[tuple[list[int], int, int]]:
+        """Of each word of a block, in order."""
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known, self.older, new = {}, self.known, set(words)
+        met = {w: self.older[w] for w in new if w in self.older}
+        unknown = [w for w in new if w not in met]
+        met.update(zip(unknown, self._read(unknown)))
+        self.known.update(met)
+        found = list(map(self.known.__getitem__, words))
+        for word in unknown:
+            if len(word) > KNOWN_BYTES:
+                del self.known[word]
+        return found
+
+    def measure(self, blocks: Iterable[list[bytes]], chars: int) -> tuple[int, int | None, int | None, int | None]:
+        """Tokens, and the three measures (null without tokens) of a text with ``chars`` characters in words, given in blocks of words."""
+        counts: Counter = Counter()
+        n = fallback = with_fallback = 0
+        for words in blocks:
+            if words:
+                ids, sizes, byte_sizes = zip(*self._entries(words))
+                counts.update(chain.from_iterable(ids))
+                with_fallback += sum(sizes)
+                fallback += sum(byte_sizes)
+        n = counts.total()
         if not n:
             return 0, None, None, None
-        entropy = max(0.0, math.log2(n) - math.fsum(c * math.log2(c) for c in counts.values()) / n)
-        per_token = min(MOST, 1000 * len(text) // n)
-        return n, per_token, 1000 * fallback // max(1, with_fallback), round(1000 * entropy)
+        times = Counter(counts.values())
+        entropy = max(0.0, math.log2(n) - math.fsum(k * c * math.log2(c) for c, k in times.items()) / n)
+        return n, min(MOST, 1000 * chars // n), 1000 * fallback // max(1, with_fallback), round(1000 * entropy)
 
 
 def vocabularies(byte_level: str, pattern: str, with_fallback: str) -> Vocabularies:
@@ -145,12 +196,7 @@ def measured(rows: DataFrame, byte_level: str, pattern: str, with_fallback: str)
     def make():
         tools = vocabularies(byte_level, pattern, with_fallback)
 
-        def one(data: bytes) -> tuple:
-            data = whole_utf8(data)
-            text = data.decode()
-            return *base_counts(data, text), *tools.measure(text)
-
-        return one
+        return lambda data: measures_of(whole_utf8(data), tools)
 
     return per_text(rows, make, MEASURED)
 

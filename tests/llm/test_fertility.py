@@ -32,31 +32,48 @@ def odd_texts():
     return made
 
 
-def test_base_counts_equal_plain_counting():
-    for text in odd_texts():
-        assert fertility.base_counts(text.encode(), text) == counts(text), text
+@pytest.fixture(scope="module")
+def tools():
+    return fertility.Vocabularies(*NAMES)
 
 
-def test_blocks_of_long_texts_do_not_matter():
-    text = " ".join(random.Random(2).choices(["alpha", "beta", "g\n", "dé"], k=3_000))
-    assert np.array_equal(fertility.word_numbers(text.encode(), 64), fertility.word_numbers(text.encode()))
-    assert "".join(fertility.pieces(text, 100)) == text
-    assert max(map(len, fertility.pieces("x" * 1_001, 100))) == 100
+def measures(tools, text):
+    """The three measures by one call of the libraries a word."""
+    words = WORD.findall(text)
+    ids = [i for w in words for i in tools.encoder.encode_ordinary(" " + w)]
+    names = [p for w in words for p in tools.processor.encode(w, out_type=str)]
+    n = len(ids)
+    if not n:
+        return 0, None, None, None
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+    share = 1000 * sum(bool(re.fullmatch("<0x[0-9A-F]{2}>", p)) for p in names) // len(names)
+    return n, 1000 * sum(map(len, words)) // n, share, entropy
 
 
-def test_measures_equal_the_libraries():
-    tools = fertility.Vocabularies(*NAMES)
-    for text in [t for t in odd_texts() if t]:
-        ids = tools.encoder.encode_ordinary(text)
-        n = len(ids)
-        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
-        pieces = [p for line in text.split("\n") for p in tools.processor.encode(line, out_type=str)]
-        share = 1000 * sum(bool(re.fullmatch("<0x[0-9A-F]{2}>", p)) for p in pieces) // max(1, len(pieces))
-        got = tools.measure(text)
-        assert got[:3] == (n, 1000 * len(text) // n, share)
-        assert abs(got[3] - 1000 * entropy) <= 0.51
-    assert tools.measure("") == (0, None, None, None)
-    assert tools.measure("ᚠᚢᚦ")[2] > 500
+def test_counts_and_measures_equal_plain_ones(tools):
+    for text in odd_texts():
+        got = fertility.measures_of(text.encode(), tools)
+        n, per_token, share, entropy = measures(tools, text)
+        assert got[:8] == (*counts(text), n, per_token, share), text
+        assert got[8] == entropy or abs(got[8] - 1000 * entropy) <= 0.51
+    assert fertility.measures_of("ᚠᚢᚦ".encode(), tools)[7] > 500
+
+
+def test_what_is_remembered_does_not_matter(tools, monkeypatch):
+    draw = random.Random(2)
+    vocabulary = ["".join(draw.choices("abcdeé中", k=draw.randint(1, 90))) for _ in range(300)]
+    texts = [draw.choice(["\n", " ", "\t "]).join(draw.choices(vocabulary, k=200)) for _ in range(20)]
+    want = [fertility.measures_of(t.encode(), tools) for t in texts]
+    monkeypatch.setattr(fertility, "KNOWN_BYTES", 20)
+    small = fertility.Vocabularies(*NAMES, known_words=50)
+    monkeypatch.setattr(fertility.word_blocks, "__defaults__", (64,))
+    assert [fertility.measures_of(t.encode(), small) for t in texts] == want
+    assert len(small.known) <= 50 + 40
+
+
+def test_long_words_are_cut():
+    assert "".join(fertility.pieces("x" * 1_001, 100)) == "x" * 1_001
+    assert max(map(len, fertility.pieces("x" * 1_001, 100))) == 100
 
 
 def prose(draw, n, words):
