@@ -7,14 +7,13 @@ those after its last. A running sum over the blocks of a file numbers the docume
 those that cross block borders, over any number of blocks. Blocks are read by different tasks.
 
 Defined cases: a document without tokens counts zero; tokens after the last separator of a file are an unfinished
-document, reported with ``finished`` false; null texts count as empty; a file without tokens gives no rows;
+document, reported with ``finished`` false; null texts count as empty; bytes that are not UTF-8 become U+FFFD; a file without tokens gives no rows;
 repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, files
-from tabloom.llm.common import in_slices, stage, text_of
+from tabloom.llm.common import in_slices, stage, text_of, whole_utf8
 from tabloom.session import scratch_path
 
 END_OF_DOCUMENT = 50_256
@@ -50,8 +49,8 @@ def write_token_files(
             with files.writing(folder, ".tokens") as (out, name):
                 while row is not None and size < roll:
                     doc_id, text = row
-                    for block in coder.encode((text or b"").decode()):
-                        data = np.fromiter(chain.from_iterable([ids for ids, _ in block]), kind).tobytes()
+                    for block in coder.encode(whole_utf8(text or b"").decode()):
+                        data = block.astype(kind, copy=False).tobytes()
                         out.write(data)
                         size += len(data)
                     out.write(close)
