@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
@@ -25,11 +27,39 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
     next operator that asks lets go of those before.
     """
     if key not in _held:
-        _held.clear()
+        forget()
         _held[key] = make()
     return _held[key]
 
 
+def forget() -> None:
+    """Let go of the tables of the operator before, and give their memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, where the C library can do that; a worker would keep it until its end."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function over record batches that keeps nothing in its worker: neither what was held before it nor its own memory."""
+
+    def thrifty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return thrifty
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
