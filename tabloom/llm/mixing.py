@@ -100,7 +100,7 @@ def _drawn(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     # x / (1 + x) keeps the order of the odds and maps them into (0, 1).
     place = F.least(F.floor(odds / (1 + odds) * F.lit(float(1 << 52))), F.lit((1 << 52) - 1)).cast("long")
     key = F.lpad(F.hex(place), KEY_DIGITS, "0")
-    return met.withColumn("_key", F.when((F.col("_part") > 0) & (F.col("size") > 0), key)).drop("_part", "_u", "_expected")
+    return met.withColumn("_key", F.when(F.col("_part") > 0, key)).drop("_part", "_u", "_expected")
 
 
 def _cuts(units: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,7 +143,8 @@ def _sample(rows: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     certain = drawn.groupBy("source").agg(F.sum(F.col("_copies") * F.col("size")).alias("sure"))
     want = F.greatest(F.round(F.col("target") - F.coalesce("sure", F.lit(0))).cast("long"), F.lit(0).cast("long"))
     wanted = stage(_join(targets, stage(certain, "certain")).select("source", want.alias("want")), "wanted")
-    units = drawn.filter("_key IS NOT NULL").select("source", "size", "_key")
+    # Documents without words move no cut; they are compared with it like all others.
+    units = drawn.filter("_key IS NOT NULL AND size > 0").select("source", "size", "_key")
     cuts = stage(_cuts(units, wanted), "cuts")
     # The document that fits the words still missing best, the smallest key among equals.
     over = _join(units, cuts).filter("_key > cut")

@@ -230,6 +230,29 @@ def test_mix(odd):
     assert mixing.mix(odd).columns == odd.columns and mixing.plan_mix(odd.limit(0)).count() == 0
 
 
+def test_mix_takes_empty_documents_by_rank(spark):
+    rows = [(i, "word", "ab"[i % 2]) for i in range(2_000)] + [(10_000 + i, "", "ab"[i % 2]) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = collections.Counter((r["source"], r["text"]) for r in mixing.mix(docs).collect())
+    # Of 2,000 words source a gets 5 / 7: each document once and 0.43 of them twice; b gets 2 / 7, 0.57 of its documents.
+    assert taken["b", "word"] == 571 and abs(taken["b", ""] - 286) < 50
+    assert taken["a", "word"] == 1429 and abs(taken["a", ""] - 714) < 50
+
+
+def test_mix_with_unequal_inclusion(spark):
+    rows = [(i, "word", "ab"[i % 2], 0.871 if i % 4 < 2 else 0.271) for i in range(8_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, p double")
+    plan = mixing.plan_mix(docs, expected=F.when(F.col("source") == "b", F.col("p")))
+    assert plan.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    taken = {r["doc_id"]: r["taken"] for r in plan.collect()}
+    shares = collections.Counter()
+    for i, _, source, p in rows:
+        shares[source, p] += taken[i]
+    # 2 / 7 of 8,000 words is 2,286 of the 4,000 of source b: 0.571, the mean of the two.
+    assert shares["b", 0.871] + shares["b", 0.271] == 2286
+    assert abs(shares["b", 0.871] / 2_000 - 0.871) < 0.03 and abs(shares["b", 0.271] / 2_000 - 0.271) < 0.03
+
+
 def test_mix_refines_buckets(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(map(tuple, mixing.plan_mix(docs).collect()))
