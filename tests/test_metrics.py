@@ -51,7 +51,7 @@ def rows():
 def test_against_brute_force(spark, rows, mapping):
     want = brute_force(rows, mapping)
     df = spark.createDataFrame([("test", t, p) for t, p in rows], "split string, label string, predict string")
-    found = M.evaluate(df, mapping, ["test"])
+    found = M.evaluate(df, mapping, ["test"], dense=True)
     got = found["summary"].first()
     assert (got["total"], got["valid"], got["invalid"]) == (want["total"], want["valid"], want["total"] - want["valid"])
     for name in ("accuracy", "macro_f1", "weighted_f1"):
@@ -104,6 +104,6 @@ def test_wide_matrix(spark, rows):
 @pytest.mark.parametrize("labels", [6, 40])
 def test_zero_cells_are_the_callers_choice(spark, labels):
     df = spark.createDataFrame([("s", f"l{i}", f"l{i}") for i in range(labels)], "split string, label string, predict string")
-    assert M.evaluate(df, LabelMap(), dense=False)["confusion"].count() == labels
+    assert M.evaluate(df, LabelMap(), dense=False)["confusion"].count() == labels == M.evaluate(df, LabelMap())["confusion"].count()
     k = M.evaluate(df, LabelMap())["labels"].count()
-    assert M.evaluate(df, LabelMap())["confusion"].count() == k * k
+    assert M.evaluate(df, LabelMap(), dense=True)["confusion"].count() == k * k

@@ -54,11 +54,17 @@ def test_medians_of_nothing(spark):
     assert medians(empty, []) == {}
 
 
-def test_low_cardinality_rule(spark):
-    df = spark.createDataFrame([(f"name_{i}", i % 5, f"t{i % 15}", i % 15) for i in range(30)], "id string, score int, text string, num int")
-    found = {r["column"]: r["n_unique"] for r in P.categorical_columns(df).collect()}
-    assert found == {"score": 5, "text": 15}
-    assert {r["column"] for r in P.value_counts(df).collect()} == {"score", "text"}
+@pytest.mark.parametrize("distinct", [1, 9, 10, 11, 19, 20, 21, 47])
+def test_low_cardinality_limits(spark, distinct):
+    """Texts up to 20 values, anything else up to 10."""
+    grown = spark.range(94).select(
+        F.concat(F.lit("soil "), F.col("id") % distinct).alias("soil"), (F.col("id") % distinct / 4).alias("moisture"),
+        F.date_add(F.lit("2021-03-01").cast("date"), (F.col("id") % distinct).cast("int")).alias("sown"),
+    )
+    found = {r["column"]: r["n_unique"] for r in P.categorical_columns(grown).collect()}
+    want = {"soil": 20, "moisture": 10, "sown": 20}
+    assert found == {c: distinct for c, most in want.items() if distinct <= most}
+    assert {r["column"] for r in P.value_counts(grown).collect()} == set(found)
 
 
 def test_value_counts_keep_the_missing_bucket_and_ten_values(spark):

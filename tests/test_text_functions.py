@@ -17,26 +17,26 @@ def one(spark, expr, *texts):
     return [r[0] for r in rows.orderBy("i").select(expr(F.col("t"))).collect()]
 
 
-YES_NO = LabelMap({0: "No", 1: "Yes"}).labels
+FRUIT = LabelMap({"r": "Raw", "p": "Ripe", "o": "Overripe"}).labels
 
 
 @pytest.mark.parametrize(
     "labels, text, expected",
     [
-        (YES_NO, "Yes", "Yes"),
-        (YES_NO, "yes", "Yes"),
-        (YES_NO, "NO", "No"),
-        (YES_NO, "Yes - that much is sure", "Yes"),
-        (["No Response", "Response"], "It looks like Response to me", "Response"),
-        (["Response", "No Response"], "Clearly No Response here", "Response"),
-        (["Response", "No Response"], "no response, none", "No Response"),
-        (YES_NO, "Nothing known", "No"),
-        ([], "free words", "free words"),
-        (["A"], "", None),
-        (["A"], "   ", None),
-        (["A"], None, None),
-        (["A"], "\t  a \n", "A"),
-        (["B"], " other ", "other"),
+        (FRUIT, "Ripe", "Ripe"),
+        (FRUIT, "OVERRIPE", "Overripe"),
+        (FRUIT, "ripe: soft, sweet", "Ripe"),
+        (FRUIT, "I would call it overripe", "Ripe"),
+        (["Overripe", "Ripe"], "I would call it overripe", "Overripe"),
+        (FRUIT, "Rawhide", "Raw"),
+        (FRUIT, "half ripe, half raw", "Raw"),
+        (["Ripe", "Overripe"], "overripe, mostly", "Overripe"),
+        ([], " two words ", "two words"),
+        (FRUIT, "", None),
+        (FRUIT, " \u00a0\n ", None),
+        (FRUIT, None, None),
+        (FRUIT, "\t  raw \n", "Raw"),
+        (FRUIT, " unknown ", "unknown"),
     ],
 )
 def test_extract_label(spark, labels, text, expected):

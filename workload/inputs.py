@@ -57,8 +57,8 @@ CUSTOMER_SPEC = PrepSpec(
 
 # Free-text predictions of the order status.
 PREDICT_SQL = """CASE o_orderkey % 8
-    WHEN 0 THEN lower(label) WHEN 1 THEN label || ', I think so'
-    WHEN 2 THEN 'The answer is ' || label || '.' WHEN 3 THEN 'Open'
+    WHEN 0 THEN lower(label) WHEN 1 THEN label || ' (fairly sure)'
+    WHEN 2 THEN 'Verdict so far: ' || label || '!' WHEN 3 THEN 'Open'
     WHEN 4 THEN '' WHEN 5 THEN 'garbage' WHEN 6 THEN '  ' || label || ' '
     ELSE label END"""
 PREDICTIONS_SQL = f"""SELECT o_orderkey, split, CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE label END AS label,
@@ -95,7 +95,7 @@ UNIVERSE_SQL = (
 BINARY = LabelMap([("F", "Done"), ("O", "Pending"), ("P", "Pending")])
 BINARY_PREDICTIONS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
     CASE o_orderstatus WHEN 'F' THEN 'Done' ELSE 'Pending' END AS label,
-    CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 7 = 0 THEN 'It is pending' ELSE
+    CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 7 = 0 THEN 'Still pending' ELSE
       CASE o_orderstatus WHEN 'F' THEN 'Done' ELSE 'Pending' END END AS predict FROM orders"""
 
 
