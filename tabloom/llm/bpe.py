@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import as_rows, held, per_text, text_of, whole_utf8
 
 # What a worker remembers: states of a generation, pieces of both generations (about 300 bytes each), and the longest of these.
-MAX_STATES = 160_000
-MAX_PIECES = 400_000
+MAX_STATES = 240_000
+MAX_PIECES = 700_000
 MAX_CACHED_CHARS = 64
 PIECES_AT_ONCE = 8_192
 # Beginnings of pieces whose state is remembered: so many bytes, so many of them.
