@@ -15,7 +15,7 @@ from tabloom.operators.profile import is_text_like
 from tabloom.operators.quantiles import long_values, medians, quantiles
 from tabloom.operators.positions import positions
 from tabloom.operators.select import attach, heavy_classes
-from tabloom.session import local_table, scratch_path, settle
+from tabloom.session import local_table, scratch_path, settle, settle_stored
 
 # Gates and limits of the ensemble, defaults of its arguments.
 HIGH_DIMENSION = 50
@@ -91,7 +91,7 @@ def encode_label(df: DataFrame, y: str, into: str = "y_code") -> DataFrame:
     """Classes as 0..k-1 in text order; a missing class has no code. Any number of classes: they are numbered by ranges."""
     text = F.col(quoted(y)).cast("string")
     classes = df.groupBy(text.alias("_class")).agg(F.count("*").alias("n")).filter("_class IS NOT NULL")
-    counts, small = settle(classes)
+    counts, small = settle_stored(classes)
     if small:
         # At most SMALL_ROWS rows, held by the driver.
         codes = counts.withColumn(into, (F.row_number().over(Window.orderBy("_class")) - 1).cast("int"))

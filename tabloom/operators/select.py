@@ -14,6 +14,10 @@ themselves are never shuffled.
 3. When copies of one key straddle the quota, order those copies by their whole
    content; copies equal in every column are interchangeable, so they are counted
    and written out again as picked and unpicked.
+
+Where there are too many classes to broadcast, rows have to meet their class in a
+shuffle anyway. Then the rows are shuffled by class once and numbered there; only
+the few classes that hold many rows each go the way above.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.keys import class_of, content_hash, row_hash
 from tabloom.functions.text import quoted
-from tabloom.session import settle
+from tabloom.session import settle, settle_stored
 
 HEX_STEP = 3
 HASH_DIGITS = 32
@@ -39,7 +43,7 @@ NARROW_COPIES = 16
 
 def class_counts(df: DataFrame, label: str | None) -> tuple[DataFrame, bool]:
     """``(_class, n)`` per class, settled; a second value tells whether it is small."""
-    return settle(df.groupBy(class_of(label).alias("_class")).agg(F.count("*").alias("n")))
+    return settle_stored(df.groupBy(class_of(label).alias("_class")).agg(F.count("*").alias("n")))
 
 
 def heavy_classes(counts: DataFrame, small: bool) -> DataFrame | None:
@@ -113,9 +117,7 @@ def _crossing(counts: DataFrame, by: str, need: str) -> DataFrame:
     )
 
 
-def _cut_hashes(
-    slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: int, heavy: DataFrame | None = None
-) -> tuple[DataFrame, bool]:
+def _cut_hashes(slim: DataFrame, quotas: DataFrame, small: bool, resolve_rows: int) -> tuple[DataFrame, bool]:
     """``(_class, _cut, _take, _tied)``: hash at the quota, rows to take at it, rows on it."""
     state = quotas.select("_class", F.lit("").alias("_prefix"), F.col("q").alias("_need"), F.col("n").alias("_left"), F.lit(False).alias("_single"))
     digits = 0
@@ -125,7 +127,7 @@ def _cut_hashes(
         if most is None or (most <= resolve_rows and together <= resolve_rows * _partitions(slim)):
             break
         digits += HEX_STEP
-        inside = _inside(slim, state, small, heavy)
+        inside = _inside(slim, state, small)
         buckets = inside.groupBy("_class", "_need", F.substring("_h", 1, digits).alias("_bucket")).agg(
             F.count("*").alias("n"), F.min("_h").alias("_least"), F.max("_h").alias("_most")
         )
@@ -138,7 +140,7 @@ def _cut_hashes(
         )
         state, small = settle(narrowed)
 
-    hashes = _inside(slim, state, small, heavy).groupBy("_class", "_need", "_h").agg(F.count("*").alias("n"))
+    hashes = _inside(slim, state, small).groupBy("_class", "_need", "_h").agg(F.count("*").alias("n"))
     cuts = _crossing(hashes, "_h", "_need").select(
         "_class",
         F.col("_h").alias("_cut"),
@@ -148,8 +150,8 @@ def _cut_hashes(
     return settle(cuts)
 
 
-def _inside(slim: DataFrame, state: DataFrame, small: bool, heavy: DataFrame | None) -> DataFrame:
-    joined = attach(slim, state, small, "inner", heavy)
+def _inside(slim: DataFrame, state: DataFrame, small: bool) -> DataFrame:
+    joined = attach(slim, state, small, "inner")
     return joined.filter(F.startswith("_h", "_prefix"))
 
 
@@ -170,15 +172,44 @@ def pick_lowest(
     table; ``small`` tells whether it may be broadcast. No row is lost: the result
     is ``df`` plus the boolean column ``into``.
     """
-    columns = [quoted(c) for c in df.columns]
-    work = df.withColumns({"_class": class_of(label), "_h": row_hash(key, seed)})
+    classed = df.withColumn("_class", class_of(label))
+    if small:
+        return _pick_by_cuts(df.columns, classed, key, quotas, True, seed, into, resolve_rows)
     heavy = heavy_classes(quotas, small)
-    cuts, cuts_small = _cut_hashes(
-        work.select("_class", "_h"), quotas.filter("q > 0 AND q < n"), small, resolve_rows, heavy
-    )
+    if heavy is None:
+        most, total = quotas.agg(F.max("n"), F.sum("n")).first()
+        # Heavy classes whose names are too long to broadcast must not fill a task either.
+        if most is not None and most * HEAVY_SHARES > total:
+            return _pick_by_cuts(df.columns, classed, key, quotas, False, seed, into, resolve_rows)
+        return _pick_by_number(df.columns, classed, key, quotas, seed, into)
+    few = F.broadcast(heavy)
+    staying, _ = settle(quotas.join(few, "_class", "left_semi").select("_class", "n", "q"))
+    by_cuts = _pick_by_cuts(df.columns, classed.join(few, "_class", "left_semi"), key, staying, True, seed, into, resolve_rows)
+    moving = classed.join(few, "_class", "left_anti")
+    return by_cuts.unionByName(_pick_by_number(df.columns, moving, key, quotas.join(few, "_class", "left_anti"), seed, into))
+
+
+def _pick_by_number(names: Sequence[str], classed: DataFrame, key: Sequence[str], quotas: DataFrame, seed: int, into: str) -> DataFrame:
+    """Rows numbered in their class, for classes of which none is heavy: one shuffle of the rows, hashes made after it.
+
+    The join needs no further sort: the rows lie in the order of their classes.
+    """
+    order = Window.partitionBy("_class").orderBy(F.unhex(row_hash(key, seed)), F.unhex(content_hash(names, seed)))
+    numbered = classed.repartition("_class").withColumn("_number", F.row_number().over(order))
+    met = numbered.join(quotas.select("_class", "q"), "_class", "left")
+    return met.select(*[quoted(c) for c in names], (F.col("_number") <= F.col("q")).alias(into))
+
+
+def _pick_by_cuts(
+    names: Sequence[str], classed: DataFrame, key: Sequence[str], quotas: DataFrame, small: bool, seed: int, into: str, resolve_rows: int
+) -> DataFrame:
+    """Rows compared with the hash at which the quota of their class is reached."""
+    columns = [quoted(c) for c in names]
+    work = classed.withColumn("_h", row_hash(key, seed))
+    cuts, cuts_small = _cut_hashes(work.select("_class", "_h"), quotas.filter("q > 0 AND q < n"), small, resolve_rows)
     rules = quotas.join(cuts, "_class", "left").select("_class", "n", "q", "_cut", "_take", "_tied")
     rules, rules_small = settle(rules)
-    joined = attach(work, rules, rules_small, heavy=heavy)
+    joined = attach(work, rules, rules_small)
     tie_taken = F.col("_take") == F.col("_tied")
     basic = (
         F.when(F.col("q") >= F.col("n"), True)
@@ -194,16 +225,16 @@ def pick_lowest(
     same_key = F.coalesce((F.col("_h") == F.col("_cut")) & ~tie_taken, F.lit(False))
     tied = (
         joined.filter(same_key)
-        .withColumn("_h", content_hash(df.columns, seed))
+        .withColumn("_h", content_hash(names, seed))
         .select("_class", "_h")
     )
-    inner, _ = _cut_hashes(tied, tie_quotas, cuts_small, resolve_rows, heavy)
+    inner, _ = _cut_hashes(tied, tie_quotas, cuts_small, resolve_rows)
     inner = inner.select(
         "_class", F.col("_cut").alias("_cut2"), F.col("_take").alias("_take2"), F.col("_tied").alias("_tied2")
     )
     most = inner.agg(F.max("_tied2")).first()[0]
-    second = attach(joined.withColumn("_same", same_key), inner, cuts_small, heavy=heavy).withColumn(
-        "_h2", F.when(F.col("_same"), content_hash(df.columns, seed))
+    second = attach(joined.withColumn("_same", same_key), inner, cuts_small).withColumn(
+        "_h2", F.when(F.col("_same"), content_hash(names, seed))
     )
     split_copies = F.coalesce(
         F.col("_same") & (F.col("_h2") == F.col("_cut2")) & (F.col("_take2") < F.col("_tied2")), F.lit(False)
@@ -225,4 +256,3 @@ def pick_lowest(
         "_row.*", (F.col("_copy") <= F.col("_take2")).alias(into)
     )
     return plain.unionByName(rebuilt)
-

@@ -85,7 +85,9 @@ def stratified_split(
         raise StratificationError(
             f"{n_classes} classes, smallest {least}, train {n_train}, test {n_test}"
         )
-    quotas, small = settle(stratified_quotas(counts, n_train, total, small))
+    quotas = stratified_quotas(counts, n_train, total, small)
+    if small:
+        quotas, small = settle(quotas)
     return _apply(df, key, quotas, label, seed, small, resolve_rows)
 
 

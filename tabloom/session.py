@@ -47,6 +47,26 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.S
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
+def stored(df: DataFrame, name: str = "settled") -> DataFrame:
+    """The table, written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_driver(df: DataFrame, limit: int, most_chars: int) -> DataFrame | None:
+    """The table rebuilt from driver rows, or None if it is not small."""
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for f in df.schema):
+        return None
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    cut = [F.substring(F.col(f"`{f.name}`"), 1, most_chars + 1).alias(f.name) if f.name in texts else F.col(f"`{f.name}`") for f in df.schema]
+    rows = df.select(*cut).limit(limit + 1).collect()
+    places = [i for i, f in enumerate(df.schema) if f.name in texts]
+    if len(rows) > limit or any(r[i] is not None and len(r[i]) > most_chars for r in rows for i in places):
+        return None
+    return local_table(df.sparkSession, [tuple(r) for r in rows], df.schema)
+
+
 def settle(df: DataFrame, limit: int = SMALL_ROWS, most_chars: int = SMALL_CHARS) -> tuple[DataFrame, bool]:
     """Compute a per-group table once and cut its lineage.
 
@@ -54,15 +74,13 @@ def settle(df: DataFrame, limit: int = SMALL_ROWS, most_chars: int = SMALL_CHARS
     small: it is rebuilt from driver rows and may be broadcast. Any other is written to the shared folder as
     Parquet, read back, and must be joined by shuffle. Texts reach the driver cut, so what it takes is bounded in bytes too.
     """
-    spark = df.sparkSession
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for f in df.schema)
-    if not nested:
-        cut = [F.substring(F.col(f"`{f.name}`"), 1, most_chars + 1).alias(f.name) if f.name in texts else F.col(f"`{f.name}`") for f in df.schema]
-        rows = df.select(*cut).limit(limit + 1).collect()
-        places = [i for i, f in enumerate(df.schema) if f.name in texts]
-        if len(rows) <= limit and not any(r[i] is not None and len(r[i]) > most_chars for r in rows for i in places):
-            return local_table(spark, [tuple(r) for r in rows], df.schema), True
-    path = scratch_path(spark, "settled")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), False
+    few = _in_driver(df, limit, most_chars)
+    return (stored(df), False) if few is None else (few, True)
+
+
+def settle_stored(df: DataFrame, limit: int = SMALL_ROWS, most_chars: int = SMALL_CHARS) -> tuple[DataFrame, bool]:
+    """As ``settle``, for counts per value of a column of the input: they may shuffle as much as the column holds, so they
+    are written before they are looked at, and never computed twice."""
+    kept = stored(df)
+    few = _in_driver(kept, limit, most_chars)
+    return (kept, False) if few is None else (few, True)

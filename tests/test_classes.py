@@ -134,3 +134,44 @@ def test_copies_of_one_key_end_the_rounds(spark, monkeypatch):
     got = S.random_split(rows, ["k"], 0.3, resolve_rows=100)
     assert got.filter("split = 'test'").count() == 12_000
     assert sum("_single" in columns for columns in seen) <= 4
+
+
+def _shuffled(spark, act):
+    """Bytes of the shuffle files that ``act`` adds."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        names = [found.apply(i) for i in range(found.size())]
+        return {f.getName(): f.length() for f in names if f.getName().endswith(".data")}
+
+    before = files()
+    act()
+    return sum(n for name, n in files().items() if name not in before)
+
+
+def test_rows_of_very_many_classes_are_shuffled_once(spark):
+    rows = spark.range(90_000).selectExpr("id AS k", "concat('class/', id div 3) AS label", "md5(string(id)) AS body")
+    once = _shuffled(spark, lambda: rows.repartition("label").write.format("noop").mode("overwrite").save())
+    got = []
+    # As with tables too large for a broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = _shuffled(spark, lambda: got.extend(S.stratified_split(rows, "label", ["k"], 0.5).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 90_000 and sum(r["split"] == "test" for r in got) == 45_000
+    assert taken < 2 * once
+
+
+def test_copies_in_very_many_classes_are_told_apart_by_content(spark):
+    """One key per class: the rows lowest by content are taken, of equal rows any."""
+    rows = spark.range(84_000).selectExpr("'same' AS k", "if(id % 4 = 0, NULL, concat('c', id div 4 % 20997)) AS label", "string(id % 2) AS body")
+    assert not SEL.class_counts(rows, "label")[1]
+    marked = S.stratified_split(rows, "label", ["k"], 0.4)
+    assert {tuple(r) for r in marked.groupBy("split").count().collect()} == {("test", 33_600), ("train", 50_400)}
+    assert marked.drop("split").exceptAll(rows).isEmpty() and rows.exceptAll(marked.drop("split")).isEmpty()
+    ranked = marked.filter("label IS NOT NULL").groupBy("label").agg(
+        F.collect_list(F.struct("body", "split")).alias("g"), F.min(F.struct(SEL.content_hash(["k", "label", "body"], 42).alias("h"), "body")).alias("low"))
+    wrong = ranked.filter("exists(g, x -> x.split = 'test' AND x.body <> low.body) AND exists(g, x -> x.split = 'train' AND x.body = low.body)")
+    assert wrong.isEmpty()
