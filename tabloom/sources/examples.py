@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,28 @@ def write_examples(
     writer.save(path)
 
 
+def array_lines(records: DataFrame) -> DataFrame:
+    """The text of one JSON array in one partition, to be written as one file, from a table of one text column with a JSON object a row.
+
+    Records pass through the task in any order, a batch at a time, so its memory does not grow with them. A table planned as
+    empty may give no text at all, which ``read_examples`` reads as no rows too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines(values: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
+        yield lines(["["])
+        comma = ""
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield lines([("," if i else comma) + v for i, v in enumerate(values)])
+            comma = "," if values else comma
+        yield lines(["]"])
+
+    return records.coalesce(1).mapInArrow(run, "value string")
+
+
 def read_predictions(
     spark: SparkSession, path: str, split: str | None = None, damaged: str = "fail"
 ) -> DataFrame:

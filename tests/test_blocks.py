@@ -4,13 +4,16 @@ import csv
 import io
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.session import shared_dir
 from tabloom.sources import blocks
-from tabloom.sources.examples import read_examples
+from tabloom.sources.examples import array_lines, read_examples
 from tabloom.sources.tables import read_table, scan_health
+from workload import files
 
 
 def state_by_character(text, state):
@@ -146,3 +149,29 @@ def test_extra_fields_and_nested_values(spark, tmp_path):
     path.write_text(json.dumps([{"instruction": "i", "input": "x", "output": str(i), "meta": {"a": [{"b": {}}], "c": "}"}} for i in range(9)]))
     got = read_examples(spark, str(path), block_bytes=50).collect()
     assert sorted(r["output"] for r in got) == [str(i) for i in range(9)]
+
+
+def test_array_is_written_without_holding_it(spark, tmp_path):
+    records = spark.range(0, 25_000, 1, 4).selectExpr("to_json(struct(string(id) AS input, 'x' AS output)) AS r")
+    lines = array_lines(records)
+    shown = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in shown and "Exchange" not in shown
+    lines.write.text(str(tmp_path / "a"))
+    (file,) = (tmp_path / "a").glob("part-*")
+    assert sorted(int(r["input"]) for r in json.loads(file.read_text())) == list(range(25_000))
+    assert read_examples(spark, str(tmp_path / "a"), block_bytes=40_000).count() == 25_000
+    array_lines(records.filter("r = ''")).write.text(str(tmp_path / "none"))
+    assert "".join(f.read_text() for f in (tmp_path / "none").glob("part-*")).split() == ["[", "]"]
+
+
+def test_examples_array_is_one_whole_array_whatever_the_keys(spark, tmp_path):
+    """Null keys came before the opening bracket, and of several rows with the smallest key none had a comma."""
+    rows = [(k, 7, status, 1.5, "5-LOW") for k in (None, 3, 3, 3, 9) for status in "OPF"]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    before = set(Path(shared_dir(spark)).glob("examples_array-*"))
+    got = sorted(r["output"] for r in files.examples_array(spark, str(tmp_path)).collect())
+    (written,) = set(Path(shared_dir(spark)).glob("examples_array-*")) - before
+    (file,) = written.glob("part-*")
+    array = json.loads(file.read_text())
+    assert got == sorted(r["output"] for r in array) == ["Filled"] * 5 + ["Open"] * 5 + ["Partly Open"] * 5

@@ -10,7 +10,7 @@ from tabloom.operators.examples import build_examples
 from tabloom.plans.dataset import prepare
 from tabloom.plans.evaluation import score_files
 from tabloom.session import scratch_path
-from tabloom.sources.examples import read_examples, read_predictions, write_examples
+from tabloom.sources.examples import array_lines, read_examples, read_predictions, write_examples
 from tabloom.sources.reports import write_metrics, write_rankings
 from tabloom.sources.stages import manifests, read_stage, write_stage
 from tabloom.sources.tables import read_table, scan_health, schema_alignment
@@ -71,13 +71,8 @@ def examples_array(spark, sf):
     path = scratch_path(spark, "examples_array")
     ex = build_examples(table(spark, sf, "orders"), ORDER_SPEC)
     record = F.regexp_replace(F.to_json(F.struct("instruction", "input", "output")), '","', '",\n  "')
-    rows = ex.select(F.col("o_orderkey").alias("at"), F.concat(F.lit(","), record).alias("value"))
-    edges = spark.range(2).select(F.when(F.col("id") == 0, F.lit(-2**62)).otherwise(F.lit(2**62)).alias("at"),
-                                  F.when(F.col("id") == 0, F.lit("[")).otherwise(F.lit("]")).alias("value"))
-    # The array is one file on purpose. Its first record has no comma before it.
-    lines = rows.unionByName(edges).coalesce(1).sortWithinPartitions("at")
-    first = table(spark, sf, "orders").agg(F.min("o_orderkey")).scalar()
-    lines.select(F.when(F.col("at") == first, F.substr("value", F.lit(2))).otherwise(F.col("value")).alias("value")).write.text(path)
+    # The array is one file on purpose, so one task writes it.
+    array_lines(ex.select(record)).write.text(path)
     return read_examples(spark, path, block_bytes=max(256, 4 * ex.count()))
 
 
