@@ -181,23 +181,23 @@ def pick_lowest(
         # Heavy classes whose names are too long to broadcast must not fill a task either.
         if most is not None and most * HEAVY_SHARES > total:
             return _pick_by_cuts(df.columns, classed, key, quotas, False, seed, into, resolve_rows)
-        return _pick_by_number(df.columns, classed, key, quotas, seed, into)
+        return _pick_by_number(df, label, key, quotas, seed, into)
     few = F.broadcast(heavy)
     staying, _ = settle(quotas.join(few, "_class", "left_semi").select("_class", "n", "q"))
     by_cuts = _pick_by_cuts(df.columns, classed.join(few, "_class", "left_semi"), key, staying, True, seed, into, resolve_rows)
-    moving = classed.join(few, "_class", "left_anti")
-    return by_cuts.unionByName(_pick_by_number(df.columns, moving, key, quotas.join(few, "_class", "left_anti"), seed, into))
+    moving = classed.join(few, "_class", "left_anti").drop("_class")
+    return by_cuts.unionByName(_pick_by_number(moving, label, key, quotas.join(few, "_class", "left_anti"), seed, into))
 
 
-def _pick_by_number(names: Sequence[str], classed: DataFrame, key: Sequence[str], quotas: DataFrame, seed: int, into: str) -> DataFrame:
-    """Rows numbered in their class, for classes of which none is heavy: one shuffle of the rows, hashes made after it.
+def _pick_by_number(df: DataFrame, label: str | None, key: Sequence[str], quotas: DataFrame, seed: int, into: str) -> DataFrame:
+    """Rows numbered in their class, for classes of which none is heavy: one shuffle of the rows, classes and hashes made after it.
 
     The join needs no further sort: the rows lie in the order of their classes.
     """
-    order = Window.partitionBy("_class").orderBy(F.unhex(row_hash(key, seed)), F.unhex(content_hash(names, seed)))
-    numbered = classed.repartition("_class").withColumn("_number", F.row_number().over(order))
-    met = numbered.join(quotas.select("_class", "q"), "_class", "left")
-    return met.select(*[quoted(c) for c in names], (F.col("_number") <= F.col("q")).alias(into))
+    order = Window.partitionBy("_class").orderBy(F.unhex(row_hash(key, seed)), F.unhex(content_hash(df.columns, seed)))
+    dealt = df.repartition(class_of(label)).withColumn("_class", class_of(label))
+    met = dealt.withColumn("_number", F.row_number().over(order)).join(quotas.select("_class", "q"), "_class", "left")
+    return met.select(*[quoted(c) for c in df.columns], (F.col("_number") <= F.col("q")).alias(into))
 
 
 def _pick_by_cuts(
